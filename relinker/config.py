@@ -44,4 +44,4 @@ class Settings:
     max_history_size: int = MAX_HISTORY_SIZE
     topics: int = 10
     # A key held by more rows than this (and by more than 1% of them) is split over several tasks.
-    hot_key_rows: int = 20_000
+    hot_key_rows: int = 500

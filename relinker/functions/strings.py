@@ -4,12 +4,17 @@ Each helper sees only the candidate pairs that survived the joins in ``operators
 """
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
+# The helpers travel with the query, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def ratcliff_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()

@@ -104,7 +104,7 @@ def clean_url(url) -> Column:
     words = F.regexp_replace(F.array_join(path_segments(decoded), " "), "[-_#]", " ")
     params = url_params(decoded)
     suffix = F.when(
-        params != "", F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(params, "&")), "&"))
+        params != "", F.concat(F.lit("?"), F.array_join(F.sort_array(F.split(params, "&")), "&"))
     ).otherwise(F.lit(""))
     cleaned = F.lower(F.regexp_replace(F.concat(words, suffix), UNICODE_EDGE_SPACE, ""))
     return F.coalesce(cleaned, F.lit(""))
@@ -133,7 +133,7 @@ def nlp_tokens(url) -> Column:
 def token_sort_key(url) -> Column:
     ascii_only = F.regexp_replace(_col(url), r"[^\x00-\x7F]", "")
     words = F.split(F.lower(F.regexp_replace(ascii_only, r"[^A-Za-z0-9_]+", " ")), " ")
-    return F.array_join(F.array_sort(non_empty(words)), " ")
+    return F.array_join(F.sort_array(non_empty(words)), " ")
 
 
 def chars(text) -> Column:
@@ -146,7 +146,7 @@ def char_set(url) -> Column:
 
 def char_set_text(url) -> Column:
     """The distinct characters of a string in sorted order, as one string."""
-    return F.array_join(F.array_sort(char_set(url)), "")
+    return F.array_join(F.sort_array(char_set(url)), "")
 
 
 def substrings(text: Column, n: int) -> Column:

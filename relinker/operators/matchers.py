@@ -16,6 +16,7 @@ from relinker.functions import strings, urls
 from relinker.operators.nearest import ALL, EPS, Measure, best_match, element
 
 CHUNKS = (1, 2, 3, 4)
+SEED_CHUNKS = (7, 11)
 
 
 def votes(broken: DataFrame, algo: str, url: str, score: str, idx: str) -> DataFrame:
@@ -63,6 +64,7 @@ JACCARD = Measure(
     score=_jaccard,
     # |A & B| >= floor * |A|, so at most (1 - floor) |A| characters of A are missing.
     lost=lambda q, floor: F.when(floor > 0, _floor_int(F.length(q) * (1 - floor))),
+    probed=lambda elem: F.length(elem) == 1,
     may_reach=lambda q, t, floor: F.least(F.length(q), F.length(t)) >= (floor - EPS) * F.greatest(F.length(q), F.length(t)),
 )
 
@@ -79,7 +81,7 @@ def tversky_measure(alpha: float, beta: float) -> Measure:
         return _floor_int(F.length(q) * F.try_divide(r, alpha + r))
 
     return Measure(elements=_set_elements, shares=_holds, score=score, lost=lost,
-                   may_reach=lambda q, t, floor: F.lit(True))
+                   probed=JACCARD.probed, may_reach=lambda q, t, floor: F.lit(True))
 
 
 def _match_sets(broken: DataFrame, live: DataFrame, cfg: Settings, algo: str, m: Measure) -> DataFrame:
@@ -110,10 +112,16 @@ def tversky(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> D
 def _chunk_elements(text: Column) -> Column:
     parts = [
         F.transform(urls.substrings(text, w), lambda c, i: element(c, F.length(c), i)) for w in CHUNKS]
+    parts += [
+        F.transform(urls.substrings(text, w), lambda c, i: element(c, F.lit(0), i)) for w in SEED_CHUNKS]
     empty = F.array(element(F.lit(""), F.lit(1), F.lit(0)))
     return F.when(F.length(text) == 0, empty).otherwise(F.concat(*parts))
 
 
+def _short(elem: Column) -> Column:
+    return F.length(elem) <= max(CHUNKS)
+
+
 def _chunk_near(key: Column, probe: Column, slack: Column) -> Column:
     """An untouched chunk moves by no more positions than there are edits."""
     start = F.greatest(probe["pos"] - slack, F.lit(0))
@@ -157,6 +165,7 @@ LEVENSHTEIN = Measure(
     may_reach=lambda q, t, floor: F.abs(F.length(q) - F.length(t)) <= -floor,
     verify=_distance_above,
     widths=CHUNKS,
+    probed=_short,
 )
 
 
@@ -200,15 +209,23 @@ def _length_ratio(q: Column, t: Column, floor: Column) -> Column:
     return 2 * F.least(a, b) >= (floor - EPS) * (a + b)
 
 
+def _edits_allow(q: Column, t: Column, floor: Column) -> Column:
+    """A common subsequence of 2 LCS / (a + b) >= floor means at most (a + b)(1 - floor) edits."""
+    limit = F.floor((F.length(q) + F.length(t)) * (1 - F.greatest(floor, F.lit(0.0))) + EPS).cast("int")
+    return F.call_function("levenshtein", q, t, limit) >= 0
+
+
 RATCLIFF = Measure(
     elements=_chunk_elements,
     shares=_chunk_near,
     score=strings.ratcliff_column,
     lost=_subsequence_lost,
     may_reach=_length_ratio,
+    close=_edits_allow,
     verify=lambda q, t, floor: strings.ratcliff_above(q, t, floor - EPS),
     seed_rank=_distance,
     widths=CHUNKS,
+    probed=_short,
 )
 
 
@@ -227,8 +244,10 @@ FUZZY = Measure(
     score=strings.indel_percent_column,
     lost=lambda q, floor: _subsequence_lost(q, _percent_floor(floor)),
     may_reach=lambda q, t, floor: _length_ratio(q, t, _percent_floor(floor)) | (q == t),
+    close=lambda q, t, floor: _edits_allow(q, t, _percent_floor(floor)),
     seed_rank=_distance,
     widths=CHUNKS,
+    probed=_short,
 )
 
 
@@ -305,7 +324,8 @@ def _matched_share(floor: Column) -> Column:
 JARO_WINKLER = Measure(
     elements=_counted_elements,
     shares=_holds,
-    key=lambda text: F.array_join(F.array_sort(urls.chars(text)), ""),
+    probed=lambda elem: ~F.startswith(elem, F.lit("seed ")),
+    key=lambda text: F.array_join(F.sort_array(urls.chars(text)), ""),
     score=strings.jaro_winkler_column,
     # m >= a (share - 1), as m is at most the other length.
     lost=lambda q, floor: F.when(

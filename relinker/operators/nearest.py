@@ -3,7 +3,7 @@
 The work is a seed-and-verify join:
 
 1. Every string is cut into *elements* (substrings, characters, character counts, ...). One
-   aggregate over the targets gives each element its number of targets and one sample target.
+   aggregate over the targets gives each element its number of targets and two sample targets.
 2. A query is scored against the sample targets of its rarest elements. The best of these scores
    is a floor: the winner can only be the seed or something at least as good.
 3. From the floor follows how many elements of the query a target as good as that may lack, say
@@ -22,9 +22,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relinker.operators.spread import hot_keys, spread_join
+from relinker.operators.spread import hot_keys, spread, spread_join
 
-SEEDS = 12
+SEEDS = 64
 ALL = 1_000_000
 EPS = 1e-9
 
@@ -39,6 +39,8 @@ class Measure:
     score     (query, target) -> exact score; may be NULL for "not comparable".
     lost      (query, floor) -> how many elements a target that reaches the floor may lack.
     may_reach (query, target, floor) -> cheap test that no such target fails.
+    close     the same, for a test that costs more; made last.
+    probed    element -> whether it can be a probe, that is, not for seeds only.
     verify    (query, target, floor) -> score, free to answer anything below the floor if below it.
     """
     elements: Callable[[Column], Column]
@@ -47,9 +49,11 @@ class Measure:
     lost: Callable[[Column, Column], Column]
     may_reach: Callable[[Column, Column, Column], Column]
     key: Callable[[Column], Column] = lambda text: text
+    close: Callable[[Column, Column, Column], Column] = lambda q, t, floor: F.lit(True)
     verify: Callable[[Column, Column, Column], Column] | None = None
     seed_rank: Callable[[Column, Column], Column] | None = None
     widths: tuple[int, ...] = (1,)
+    probed: Callable[[Column], Column] = lambda elem: F.lit(True)
 
 
 def element(elem: Column, width: Column, pos: Column) -> Column:
@@ -83,21 +87,21 @@ def best_match(queries: DataFrame, targets: DataFrame, m: Measure, hot_key_rows:
     """
     t = F.col("t")
     # A substring may occur twice in one target; it is posted once.
-    posted = F.array_distinct(F.transform(m.elements(t), lambda e: F.struct(e["elem"], e["width"])))
     postings = targets.withColumn("key", m.key(t)).select(
-        "t", "live_idx", "live_url", "key", F.explode(posted).alias("e")
-    ).select("t", "live_idx", "live_url", "key", "e.elem", "e.width")
-    element_stats = postings.select("elem", "live_idx").groupBy("elem").agg(
-        F.count("*").alias("n_targets"), F.min("live_idx").alias("sample"))
+        "t", "live_idx", "live_url", "key",
+        F.explode(F.array_distinct(F.transform(m.elements(t), lambda e: e["elem"]))).alias("elem"))
+    target_stats = postings.select("elem", "live_idx").groupBy("elem").agg(
+        F.count("*").alias("right_rows"), F.min("live_idx").alias("low"), F.max("live_idx").alias("high"))
 
     q = F.col("q")
     q_elements = queries.select("q", F.explode(m.elements(q)).alias("e")).select("q", "e.elem", "e.width", "e.pos")
+    shared = q_elements.groupBy("elem").agg(F.count("*").alias("left_rows")).join(target_stats, "elem")
     profile = (
-        q_elements.join(element_stats, "elem", "left")
-        .withColumn("n_targets", F.coalesce("n_targets", F.lit(0)))
+        spread(q_elements.join(shared.drop("left_rows"), "elem", "left"), "q")
+        .withColumn("n_targets", F.coalesce("right_rows", F.lit(0)))
         .groupBy("q")
-        .agg(F.array_sort(F.collect_list(
-            F.struct("n_targets", "pos", "elem", "width", "sample"))).alias("elems"))
+        .agg(F.sort_array(F.collect_list(
+            F.struct("n_targets", "pos", "elem", "width", "low", "high"))).alias("elems"))
     )
 
     floors = _floors(profile, targets, m)
@@ -109,24 +113,22 @@ def best_match(queries: DataFrame, targets: DataFrame, m: Measure, hot_key_rows:
             _rarest_tiling(F.col("elems"), need.cast("int"), m.widths), lambda e: e["n_targets"] > 0))
         .withColumn("probes", F.transform("probes", lambda e: F.struct(
             e["elem"].alias("elem"), e["pos"].alias("pos"))))
-        .select("q", "floor", "lost", "probes", F.explode("probes").alias("probe"))
+        .select("q", "floor", "lost", "probes", F.posexplode("probes").alias("place", "probe"))
         .withColumn("elem", F.col("probe.elem"))
     )
 
-    n_targets = targets.select(F.count("*").cast("double").alias("n"))
-    n_queries = queries.select(F.count("*").cast("double").alias("n"))
-    q_counts = q_elements.groupBy("elem").agg(F.count("*").alias("n_queries"))
+    hot = hot_keys(
+        shared, "elem", queries.select(F.count("*").alias("n")), targets.select(F.count("*").alias("n")), hot_key_rows)
     pairs = spread_join(
-        probes, postings.where(F.col("width") > 0).drop("width"), "elem", "q", "live_idx",
-        hot_left=hot_keys(q_counts, "elem", "n_queries", n_queries, hot_key_rows, "n_left"),
-        hot_right=hot_keys(element_stats, "elem", "n_targets", n_targets, hot_key_rows, "n_right"),
-    )
+        probes, postings.where(m.probed(F.col("elem"))), "elem", "q", "live_idx", hot)
     floor = F.coalesce("floor", F.lit(float("-inf")))
-    first_shared = F.try_element_at(
-        F.filter("probes", lambda p: m.shares(F.col("key"), p, F.col("lost"))), F.lit(1))
+    key, lost = F.col("key"), F.col("lost")
+    at_earlier_probe = F.exists(
+        F.slice("probes", F.lit(1), F.col("place")), lambda p: m.shares(key, p, lost))
     verify = m.verify or (lambda a, b, low: m.score(a, b))
     scored = (
-        pairs.where(m.may_reach(q, t, floor) & (first_shared == F.col("probe")))
+        pairs.where(m.may_reach(q, t, floor) & m.shares(key, F.col("probe"), lost) & ~at_earlier_probe)
+        .where(m.close(q, t, floor))
         .select("q", verify(q, t, floor).alias("score"), "live_idx", "live_url", floor.alias("floor"))
         .where(F.col("score") >= F.col("floor") - EPS)
     )
@@ -144,10 +146,12 @@ def pick_best(scored: DataFrame) -> DataFrame:
 def _floors(profile: DataFrame, targets: DataFrame, m: Measure) -> DataFrame:
     """Best exact score of each query among the sample targets of its rarest elements."""
     known = F.filter("elems", lambda e: e["n_targets"] > 0)
-    samples = F.slice(F.array_distinct(F.transform(known, lambda e: e["sample"])), 1, SEEDS)
+    samples = F.slice(F.array_distinct(F.flatten(F.transform(
+        known, lambda e: F.array(e["low"], e["high"])))), 1, SEEDS)
     seeds = profile.select("q", F.explode(samples).alias("live_idx")).join(
         targets.select("live_idx", "t"), "live_idx")
     q, t = F.col("q"), F.col("t")
+    seeds = spread(seeds.select("q", "t"), "q")
     if m.seed_rank is not None:
         # One seed per query, by a rank that stays in the JVM, when the exact score does not.
         seeds = seeds.groupBy("q").agg(F.max(F.struct(m.seed_rank(q, t).alias("rank"), "t"))["t"].alias("t"))

@@ -1,41 +1,53 @@
-"""Equi-join on a key that one key value may dominate."""
+"""Equi-joins whose work must be spread over the whole cluster."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 
-def hot_keys(counts: DataFrame, key: str, rows: str, n_items: DataFrame, min_rows: int, name: str) -> DataFrame:
-    """Keys owned by more than ``min_rows`` rows and by more than 1% of the items.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions by ``keys`` with a fixed number of partitions.
 
-    An item (URL) has a bounded number of keys k, so at most 100 * k keys can pass the 1% test,
-    whatever the size of the data: the result is safe to broadcast.
+    The rows are short and the work per row is long, so partitions must not be merged by size, as
+    adaptive execution does with partitions it made itself.
     """
-    limit = F.greatest(F.lit(min_rows).cast("double"), n_items.scalar() / 100)
-    return counts.where(F.col(rows) > limit).select(
-        key, F.ceil(F.col(rows) / limit).cast("int").alias(name))
+    session = df.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+def hot_keys(shared: DataFrame, key: str, n_left: DataFrame, n_right: DataFrame, min_rows: int) -> DataFrame:
+    """Keys owned by more than ``min_rows`` rows and by more than 1% of the items of a side.
+
+    ``shared(key, left_rows, right_rows)`` counts each item once per key. An item (URL) has a bounded
+    number of keys k, so at most 100 k keys of a side pass the 1% test, whatever the size of the
+    data: the result is safe to broadcast.
+    """
+    def slices(rows: str, n: DataFrame):
+        return F.ceil(F.col(rows) / F.greatest(F.lit(min_rows).cast("double"), n.scalar() / 100)).cast("int")
+
+    return (
+        shared.select(key, slices("left_rows", n_left).alias("n_left"), slices("right_rows", n_right).alias("n_right"))
+        .where((F.col("n_left") > 1) | (F.col("n_right") > 1))
+    )
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,
-                hot_left: DataFrame, hot_right: DataFrame) -> DataFrame:
+                hot: DataFrame) -> DataFrame:
     """Inner equi-join in which the pairs of a hot key are cut into a grid of smaller groups.
 
     Rows of a hot key fall into one of n slices of their own side and are copied to each slice of
     the other side, so each pair still meets exactly once. Other keys keep a single group.
     """
-    def slices(df: DataFrame) -> DataFrame:
+    def side(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
+        sliced = df.join(F.broadcast(hot), key, "left")
+        count = {c: F.coalesce(f"n_{c}", F.lit(1)) for c in (own, other)}
         return (
-            df.join(F.broadcast(hot_left), key, "left").join(F.broadcast(hot_right), key, "left")
-            .withColumn("n_left", F.coalesce("n_left", F.lit(1)))
-            .withColumn("n_right", F.coalesce("n_right", F.lit(1)))
+            sliced.withColumn(f"slice_{own}", F.pmod(F.xxhash64(row_id), count[own]).cast("int"))
+            .withColumn(f"slice_{other}", F.explode(F.sequence(F.lit(0), count[other] - 1)))
+            .drop("n_left", "n_right")
         )
 
-    def own(row_id: str, n: str):
-        return F.pmod(F.xxhash64(row_id), F.col(n)).cast("int")
-
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    l = slices(left).withColumn("slice_l", own(left_id, "n_left")).withColumn("slice_r", every("n_right"))
-    r = slices(right).withColumn("slice_r", own(right_id, "n_right")).withColumn("slice_l", every("n_left"))
-    drop = ("n_left", "n_right")
-    return l.drop(*drop).join(r.drop(*drop), [key, "slice_l", "slice_r"]).drop("slice_l", "slice_r")
+    on = [key, "slice_left", "slice_right"]
+    l = spread(side(left, left_id, "left", "right"), *on)
+    r = spread(side(right, right_id, "right", "left"), *on)
+    return l.join(r, on).drop("slice_left", "slice_right")
