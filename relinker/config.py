@@ -9,6 +9,12 @@ ALGORITHMS = (
     "jaro_winkler", "vector", "bertopic", "ml", "spacy",
 )
 
+# Algorithm names in the column order of the mapping table.
+MAPPING_ORDER = (
+    "fuzzy", "levenshtein", "jaccard", "hamming", "ratcliff", "tversky",
+    "spacy", "vector", "jaro_winkler", "bertopic", "ml",
+)
+
 # Status labels that call for a second check.
 PROBLEM_STATUSES = (
     "403", "430", "500", "501", "502", "503", "504", "timeout", "error", "invalid",

@@ -10,9 +10,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     The rows are short and the work per row is long, so partitions must not be merged by size, as
     adaptive execution does with partitions it made itself.
     """
+    return df.repartition(partitions(df), *keys)
+
+
+def spread_by_range(df: DataFrame, *order) -> DataFrame:
+    return df.repartitionByRange(partitions(df), *order)
+
+
+def partitions(df: DataFrame) -> int:
     session = df.sparkSession
-    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
 
 
 def hot_keys(shared: DataFrame, key: str, n_left: DataFrame, n_right: DataFrame, min_rows: int) -> DataFrame:
