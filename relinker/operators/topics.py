@@ -33,8 +33,9 @@ def topic_match(broken: DataFrame, live: DataFrame, topics: DataFrame) -> DataFr
     out = (
         broken.join(topics.select("url", "topic"), "url")
         .join(best, "topic", "left")
+        .withColumn("leaders", leaders)
         .withColumn("other", F.try_element_at(
-            F.filter(leaders, lambda x: x["topic"] != F.col("topic")), F.lit(1)))
+            F.filter("leaders", lambda x: x["topic"] != F.col("topic")), F.lit(1)))
         .withColumn("win", F.greatest(
             F.when(F.col("b").isNotNull(), F.struct(
                 F.col("b.prob").alias("score"), F.col("b.order").alias("order"), F.col("b.url").alias("url"))),
