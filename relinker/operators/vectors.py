@@ -8,14 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relinker.config import Settings
 from relinker.functions import urls
 from relinker.operators.matchers import first_live, votes
-from relinker.operators.nearest import EPS, SEEDS, pick_best
+from relinker.operators.nearest import EPS, pick_best
 from relinker.operators.spread import hot_keys, spread, spread_join
 
 GRAMS = (2, 3)
-
-
-def gram_text(url) -> Column:
-    return F.regexp_replace(F.lower(F.col(url)), r"(?U)\s\s+", " ")
+SEEDS = 16
 
 
 def gram_counts(docs: DataFrame, doc_id: str, low: int, high: int) -> DataFrame:
@@ -29,20 +26,14 @@ def gram_counts(docs: DataFrame, doc_id: str, low: int, high: int) -> DataFrame:
     )
 
 
-def unit_terms(counts: DataFrame, idf: DataFrame, doc_id: str) -> DataFrame:
-    """Per document: ``terms``, an array of (gram, w) with unit L2 norm before scaling, and ``norm``."""
-    weighted = counts.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    return weighted.groupBy(doc_id, "url").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("gram", "w", "idf")).alias("terms"))
-
-
 def vector(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """TF-IDF cosine on character 2- and 3-grams fitted on the live URLs; always votes.
 
-    A live URL whose common n-grams with the query all lie in a part of the query vector of norm
-    below the floor cannot reach the floor. So the query is joined on its heaviest n-grams only,
-    until what remains of its vector is shorter than the floor (the prefix filter of all-pairs
-    similarity search).
+    A query is joined on its heaviest n-grams only, until what remains of its vector is shorter
+    than half the floor (the prefix filter of all-pairs similarity search). The light n-grams left
+    out are those that nearly every URL has. A live URL without a joined n-gram cannot reach the
+    floor. For the others the product over the joined n-grams is known, and the Cauchy-Schwarz
+    bound on the rest leaves few pairs whose cosine has to be computed in full.
     """
     live_counts = gram_counts(live, "live_idx", *GRAMS)
     n = live.select(F.count("*").alias("n")).scalar()
@@ -50,51 +41,61 @@ def vector(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> Da
         F.count("*").alias("right_rows"), F.min("live_idx").alias("low"), F.max("live_idx").alias("high")
     ).where(F.col("right_rows") >= 2).withColumn("idf", F.log((1 + n) / (1 + F.col("right_rows"))) + 1)
 
-    documents = unit_terms(live_counts, vocabulary.select("gram", "idf"), "live_idx").select(
-        "live_idx", F.col("url").alias("live_url"), "norm", F.transform("terms", lambda x: x["gram"]).alias("grams"))
-    postings = documents.withColumn("text", gram_text("live_url")).select(
-        "live_idx", "live_url", "norm", "text", F.explode("grams").alias("gram"))
+    def weighted(counts: DataFrame, row_id: str) -> DataFrame:
+        terms = counts.join(vocabulary, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+        return spread(terms, row_id).groupBy(row_id, "url").agg(
+            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+            F.sort_array(F.collect_list(F.struct("w", "gram", "idf", "low", "high")), asc=False).alias("terms"))
+
+    documents = weighted(live_counts, "live_idx").withColumnRenamed("url", "live_url")
+    postings = documents.select("live_idx", "norm", F.explode("terms").alias("x")).select(
+        "live_idx", F.col("x.gram").alias("gram"), (F.col("x.w") / F.col("norm")).alias("wl"))
+    texts = documents.select("live_idx", "live_url", F.col("norm").alias("live_norm"))
 
     q_counts = gram_counts(broken.select("idx", "url"), "idx", *GRAMS)
-    weighted = q_counts.join(vocabulary, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    queries = spread(weighted, "idx").groupBy("idx").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"),
-        F.sort_array(F.collect_list(F.struct("w", "gram", "idf", "low", "high")), asc=False).alias("terms"))
+    queries = weighted(q_counts, "idx")
     # Query weight times idf: what one occurrence of the n-gram in a live URL adds to the product.
-    queries = queries.withColumn("gain", F.map_from_entries(F.transform(
-        "terms", lambda x: F.struct(x["gram"], x["w"] * x["idf"] / F.col("q_norm")))))
+    gains = queries.select("idx", F.map_from_entries(F.transform("terms", lambda x: F.struct(
+        x["gram"], x["w"] * x["idf"] / F.col("norm")))).alias("gain"))
 
-    def cosine(text: Column, norm: Column) -> Column:
-        found = F.transform(F.concat(*[urls.substrings(text, k) for k in range(GRAMS[0], GRAMS[1] + 1)]),
+    def cosine() -> Column:
+        found = F.transform(urls.char_ngrams("live_url", *GRAMS),
                             lambda g: F.coalesce(F.try_element_at("gain", g), F.lit(0.0)))
-        return F.round(F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x) / norm, 9)
-
-    samples = F.slice(F.array_distinct(F.flatten(F.transform(
-        F.reverse(F.sort_array(F.transform("terms", lambda x: F.struct(x["idf"], x["low"], x["high"])))),
-        lambda x: F.array(x["low"], x["high"])))), 1, SEEDS)
-    seeds = queries.select("idx", "gain", F.explode(samples).alias("live_idx")).join(
-        documents.drop("grams"), "live_idx")
-    floors = spread(seeds, "idx").groupBy("idx").agg(F.max(cosine(gram_text("live_url"), F.col("norm"))).alias("floor"))
-
-    rest = F.transform("terms", lambda x, i: F.struct(x["gram"].alias("gram"), (1 - F.aggregate(
-        F.slice("terms", F.lit(1), i), F.lit(0.0), lambda acc, y: acc + y["w"] * y["w"]
-    ) / (F.col("q_norm") * F.col("q_norm"))).alias("square")))
-    floor = F.coalesce("floor", F.lit(0.0))
+        return F.round(F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x) / F.col("live_norm"), 9)
+
+    samples = F.slice(F.array_distinct(F.flatten(F.transform("terms", lambda x: F.array(x["low"], x["high"])))), 1, SEEDS)
+    seeds = queries.select("idx", F.explode(samples).alias("live_idx")).join(texts, "live_idx").join(gains, "idx")
+    floors = spread(seeds, "idx").groupBy("idx").agg(F.max(cosine()).alias("floor"))
+
+    # Squared share of the query vector that lies in a term and the lighter ones after it.
+    square = F.col("norm") * F.col("norm")
+    remaining = F.transform("terms", lambda x, i: F.struct(
+        x["gram"].alias("gram"), (x["w"] / F.col("norm")).alias("wq"),
+        (1 - F.aggregate(F.slice("terms", F.lit(1), i), F.lit(0.0), lambda acc, y: acc + y["w"] * y["w"]) / square
+         ).alias("square")))
     probes = (
-        queries.join(floors, "idx", "left").withColumn("rest", rest)
-        .withColumn("probes", F.transform(
-            F.filter("rest", lambda x: x["square"] >= floor * floor - 1e-6), lambda x: x["gram"]))
-        .select("idx", "gain", floor.alias("floor"), "probes", F.posexplode("probes").alias("place", "gram"))
+        queries.join(floors, "idx", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        .withColumn("remaining", remaining)
+        .withColumn("joined", F.filter("remaining", lambda x: x["square"] >= F.col("floor") * F.col("floor") / 4))
+        .withColumn("rest", F.coalesce(F.sqrt(F.greatest(F.try_element_at(
+            "remaining", F.size("joined") + 1)["square"], F.lit(0.0))), F.lit(0.0)))
+        .select("idx", "floor", "rest", F.explode("joined").alias("x"))
+        .select("idx", "floor", "rest", "x.gram", "x.wq")
     )
     left_rows = q_counts.groupBy("gram").agg(F.count("*").alias("left_rows"))
     hot = hot_keys(
         left_rows.join(vocabulary.select("gram", "right_rows"), "gram"), "gram",
         broken.select(F.count("*").alias("n")), live.select(F.count("*").alias("n")), cfg.hot_key_rows)
-    pairs = spread_join(probes, postings, "gram", "idx", "live_idx", hot)
-    earlier = F.exists(F.slice("probes", F.lit(1), F.col("place")), lambda g: F.contains(F.col("text"), g))
-    scored = pairs.where(~earlier).select(
-        F.col("idx").alias("q"), cosine(F.col("text"), F.col("norm")).alias("score"), "live_idx", "live_url", "floor"
-    ).where((F.col("score") > 0) & (F.col("score") >= F.col("floor")))
+    known = spread_join(probes, postings, "gram", "idx", "live_idx", hot).groupBy("idx", "live_idx").agg(
+        F.sum(F.col("wq") * F.col("wl")).alias("known"), F.sum(F.col("wl") * F.col("wl")).alias("used"),
+        F.max("floor").alias("floor"), F.max("rest").alias("rest"))
+    most = F.col("known") + F.col("rest") * F.sqrt(F.greatest(1 - F.col("used"), F.lit(0.0)))
+    scored = (
+        known.where(most >= F.col("floor") - 1e-8)
+        .join(texts, "live_idx").join(gains, "idx")
+        .select(F.col("idx").alias("q"), cosine().alias("score"), "live_idx", "live_url", "floor")
+        .where((F.col("score") > 0) & (F.col("score") >= F.col("floor")))
+    )
 
     out = (
         broken.withColumn("q", F.col("idx")).join(pick_best(scored), "q", "left")
