@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relinker.config import Settings
 from relinker.functions import strings, urls
-from relinker.operators.nearest import ALL, EPS, Measure, best_match, element
+from relinker.operators.nearest import EPS, Measure, best_match, element
 
 CHUNKS = (1, 2, 3, 4)
 SEED_CHUNKS = (7, 11)
@@ -31,7 +31,8 @@ def first_live(live: DataFrame) -> Column:
 
 
 def _floor_int(x: Column) -> Column:
-    return F.greatest(F.floor(x + EPS), F.lit(0)).cast("bigint")
+    """Whole elements that may be lost; NULL stays NULL, for no limit (greatest() would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.floor(x + EPS), F.lit(0)).cast("bigint"))
 
 
 def _ratio_inverse(floor: Column) -> Column:
