@@ -7,6 +7,7 @@ from __future__ import annotations
 import sys
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
@@ -76,18 +77,53 @@ def ratcliff_column(q: pd.Series, t: pd.Series) -> pd.Series:
     return pd.Series([ratcliff_ratio(a, b) for a, b in zip(q, t)], dtype="float64")
 
 
+def shared_characters(q: pd.Series, t: pd.Series) -> np.ndarray:
+    """Size of the common character multiset of each pair, over count vectors of the distinct strings."""
+    q_at, q_texts = pd.factorize(q)
+    t_at, t_texts = pd.factorize(t)
+    column = {ch: i for i, ch in enumerate(sorted(set("".join(q_texts)) | set("".join(t_texts))))}
+
+    def counts(texts) -> np.ndarray:
+        out = np.zeros((len(texts), len(column)), dtype=np.int32)
+        for i, text in enumerate(texts):
+            for ch in text:
+                out[i, column[ch]] += 1
+        return out
+
+    q_counts, t_counts = counts(q_texts), counts(t_texts)
+    parts = [
+        np.minimum(q_counts[q_at[i:i + 1024]], t_counts[t_at[i:i + 1024]]).sum(axis=1)
+        for i in range(0, len(q_at), 1024)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def _above(q: pd.Series, t: pd.Series, floor: pd.Series, bound, score) -> pd.Series:
+    """Exact scores where the bound from shared characters reaches the floor, -1 elsewhere."""
+    a, b = q.str.len().to_numpy(), t.str.len().to_numpy()
+    reachable = bound(shared_characters(q, t), a, b) >= floor.to_numpy() - 1e-9
+    out = np.full(len(q), -1.0)
+    for i in np.flatnonzero(reachable):
+        out[i] = score(q.iat[i], t.iat[i])
+    return pd.Series(out)
+
+
+def _ratio_bound(m, a, b):
+    return np.where(a + b > 0, 2 * m / np.maximum(a + b, 1), 1.0)
+
+
+def _jaro_winkler_bound(m, a, b):
+    jaro = np.where(m > 0, (m / np.maximum(a, 1) + m / np.maximum(b, 1) + 1) / 3, 0.0)
+    return jaro + 0.4 * (1 - jaro)
+
+
 @F.pandas_udf(DoubleType())
 def ratcliff_above(q: pd.Series, t: pd.Series, floor: pd.Series) -> pd.Series:
-    """Ratio of a pair, or -1 when the character counts already rule out reaching the floor."""
-    out = []
-    matcher, previous = SequenceMatcher(None), None
-    for a, b, low in zip(q, t, floor):
-        if b != previous:
-            matcher.set_seq2(b)
-            previous = b
-        matcher.set_seq1(a)
-        out.append(matcher.ratio() if matcher.quick_ratio() >= low else -1.0)
-    return pd.Series(out, dtype="float64")
+    return _above(q, t, floor, _ratio_bound, ratcliff_ratio)
+
+
+@F.pandas_udf(DoubleType())
+def jaro_winkler_above(q: pd.Series, t: pd.Series, floor: pd.Series) -> pd.Series:
+    return _above(q, t, floor, _jaro_winkler_bound, lambda a, b: round(jaro_winkler(a, b), 9))
 
 
 @F.pandas_udf(DoubleType())

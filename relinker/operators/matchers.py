@@ -164,7 +164,7 @@ LEVENSHTEIN = Measure(
     score=_distance,
     lost=lambda q, floor: (-floor).cast("bigint"),  # one edit touches at most one of disjoint chunks
     may_reach=lambda q, t, floor: F.abs(F.length(q) - F.length(t)) <= -floor,
-    verify=_distance_above,
+    close=lambda q, t, floor: _distance_above(q, t, floor).isNotNull(),
     widths=CHUNKS,
     probed=_short,
 )
@@ -223,7 +223,7 @@ RATCLIFF = Measure(
     lost=_subsequence_lost,
     may_reach=_length_ratio,
     close=_edits_allow,
-    verify=lambda q, t, floor: strings.ratcliff_above(q, t, floor - EPS),
+    verify=strings.ratcliff_above,
     seed_rank=_distance,
     widths=CHUNKS,
     probed=_short,
@@ -328,6 +328,7 @@ JARO_WINKLER = Measure(
     probed=lambda elem: ~F.startswith(elem, F.lit("seed ")),
     key=lambda text: F.array_join(F.sort_array(urls.chars(text)), ""),
     score=strings.jaro_winkler_column,
+    verify=strings.jaro_winkler_above,
     # m >= a (share - 1), as m is at most the other length.
     lost=lambda q, floor: F.when(
         _matched_share(floor - EPS) > 1, _floor_int(F.length(q) * (2 - _matched_share(floor - EPS)))),

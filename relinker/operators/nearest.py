@@ -39,7 +39,7 @@ class Measure:
     score     (query, target) -> exact score; may be NULL for "not comparable".
     lost      (query, floor) -> how many elements a target that reaches the floor may lack.
     may_reach (query, target, floor) -> cheap test that no such target fails.
-    close     the same, for a test that costs more; made last.
+    close     the same, for a test that costs more.
     probed    element -> whether it can be a probe, that is, not for seeds only.
     verify    (query, target, floor) -> score, free to answer anything below the floor if below it.
     """
@@ -127,8 +127,8 @@ def best_match(queries: DataFrame, targets: DataFrame, m: Measure, hot_key_rows:
         F.slice("probes", F.lit(1), F.col("place")), lambda p: m.shares(key, p, lost))
     verify = m.verify or (lambda a, b, low: m.score(a, b))
     scored = (
-        pairs.where(m.may_reach(q, t, floor) & m.shares(key, F.col("probe"), lost) & ~at_earlier_probe)
-        .where(m.close(q, t, floor))
+        pairs.where(m.may_reach(q, t, floor) & m.shares(key, F.col("probe"), lost)
+                    & m.close(q, t, floor) & ~at_earlier_probe)
         .select("q", verify(q, t, floor).alias("score"), "live_idx", "live_url", floor.alias("floor"))
         .where(F.col("score") >= F.col("floor") - EPS)
     )

@@ -4,13 +4,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+# Tasks per configured shuffle partition where pairs are scored: work per key is uneven.
+PAIR_TASKS = 3
+
+
+def spread(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
     """Hash-partitions by ``keys`` with a fixed number of partitions.
 
     The rows are short and the work per row is long, so partitions must not be merged by size, as
     adaptive execution does with partitions it made itself.
     """
-    return df.repartition(partitions(df), *keys)
+    return df.repartition(times * partitions(df), *keys)
 
 
 def spread_by_range(df: DataFrame, *order) -> DataFrame:
@@ -55,6 +59,6 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right
         )
 
     on = [key, "slice_left", "slice_right"]
-    l = spread(side(left, left_id, "left", "right"), *on)
-    r = spread(side(right, right_id, "right", "left"), *on)
+    l = spread(side(left, left_id, "left", "right"), *on, times=PAIR_TASKS)
+    r = spread(side(right, right_id, "right", "left"), *on, times=PAIR_TASKS)
     return l.join(r, on).drop("slice_left", "slice_right")
