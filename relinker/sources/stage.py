@@ -12,8 +12,8 @@ def settle(df: DataFrame) -> DataFrame:
     The folder is the shared one that the cluster names in ``spark.checkpoint.dir``, so the rows
     outlive any executor. Only where that is unset (tests, a local trial) a temporary folder is used.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="relinker-"))
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="relinker-"))
     return df.checkpoint()
