@@ -3,17 +3,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes a result once to the checkpoint folder and cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; all executors share it.
 
-    The folder is the shared one that the cluster names in ``spark.checkpoint.dir``, so the rows
-    outlive any executor. Only where that is unset (tests, a local trial) a temporary folder is used.
+    Where the option is unset, a session on one machine (``local[n]``) gets a temporary folder. On a cluster
+    that is an error: each executor would write to a disk of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="relinker-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes a result once to the checkpoint folder and cuts its lineage, so the rows outlive any executor."""
     session = df.sparkSession
+    folder = shared_folder(session)
     if session.sparkContext.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="relinker-"))
+        session.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
