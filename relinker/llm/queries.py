@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relinker.llm import bpe, mixing, warc
+from relinker.llm import bpe, langid, mixing, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -22,14 +26,25 @@ def op6_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_pii": op2_pii,
         "op5_mixing": op5_mixing,
         "op6_warc": op6_warc,
+        "op8_langid": op8_langid,
+        "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,
     }
 
