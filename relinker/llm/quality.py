@@ -22,7 +22,7 @@ SELECT_PROBABILITY = 0.5
 TRAIN_DOCS = 4000
 LEAST_DOCS = 4
 HASHED = 1 << 20
-PENALTY = 2e-4
+PENALTY = 4e-3
 
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]+")
 CACHE = 400_000

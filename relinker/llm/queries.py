@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relinker.llm import bpe, langid, mixing, pii, quality, warc
+from relinker.llm import bpe, langid, minhash, mixing, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op6_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Query]:
         "op2_pii": op2_pii,
         "op5_mixing": op5_mixing,
         "op6_warc": op6_warc,
+        "op7_minhash": op7_minhash,
         "op8_langid": op8_langid,
         "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,
