@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relinker.llm import bpe, langid, minhash, mixing, pii, quality, warc
+from relinker.llm import bpe, langid, minhash, mixing, pii, quality, tokenfile, topk, vectordup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_vectordup(spark, sf_dir):
+    return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_tokenfile(spark, sf_dir):
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,10 @@ def op10_bpe(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_topk": op1_topk,
         "op2_pii": op2_pii,
+        "op3_vectordup": op3_vectordup,
+        "op4_tokenfile": op4_tokenfile,
         "op5_mixing": op5_mixing,
         "op6_warc": op6_warc,
         "op7_minhash": op7_minhash,
