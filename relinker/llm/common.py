@@ -60,28 +60,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     number of rounds grows with the logarithm of the longest chain. Edges, nodes and rounds stay on the cluster;
     the driver sees one count per round. Nodes without edges do not appear.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct()
-    pairs = settle(pairs)
+    # Rounds are cut by written tables: a checkpoint would carry the constraints of its plan into every later round.
+    pairs = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), "edges")
     # `up` maps the nodes seen so far to nodes of the contracted graph.
     up = None
     salt = 0
     while not pairs.isEmpty():
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(salt)).alias("h"), F.col(c).alias("n"))
-        least = settle(
+        least = written(
             both.groupBy("a").agg(F.min(rank("b")).alias("other"))
-            .select(F.col("a").alias("node"), F.least(rank("a"), "other")["n"].alias("to")))
+            .select(F.col("a").alias("node"), F.least(rank("a"), "other")["n"].alias("to")), "least")
         moved = (
             pairs.join(least.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
             .join(least.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b"))
         # The edge from a node to its new name stays an edge of the contracted graph, as its ends are mapped too.
-        pairs = settle(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a != b").distinct())
+        pairs = written(
+            moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a != b").distinct(), "edges")
         if up is None:
             up = least.select("node", F.col("to").alias("root"))
         else:
             step = least.select(F.col("node").alias("root"), F.col("to"))
             up = up.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        up = settle(up)
+        up = written(up, "roots")
         salt += 1
     if up is None:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).where(F.lit(False))
