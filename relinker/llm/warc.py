@@ -2,13 +2,14 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from relinker.llm.common import fresh_path
+from relinker.llm.common import fresh_path, settle
 
 # Format version, line end, end of a record, alphabet of base32.
 VERSION = "WARC/1.1"
@@ -99,7 +100,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, records_per_file: int = 12_000) -> str:
     """Writes pages(page_id, url, html) as WARC files. Spark's text writer puts the end of a record after every row."""
     (records(pages, least_bytes).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file)
-     .text(folder))
+     .option("compression", "gzip").text(folder))
     return folder
 
 
@@ -141,6 +142,11 @@ def parse(file: str, data: bytes, keep_payload: bool) -> Iterator[dict]:
         at = end + 4 + size
 
 
+def _plain(data: bytes) -> bytes:
+    """The content of an archive, compressed as a whole, record by record, or not at all."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def _field(line: str) -> tuple[str, str]:
     name, _, value = line.partition(":")
     return name.strip(), value.strip()
@@ -155,7 +161,7 @@ def read_archives(spark: SparkSession, folder: str, keep_payload: bool = True) -
             for file, data in zip(batch["path"], batch["content"], strict=True):
                 rows = []
                 held = 0
-                for row in parse(file, bytes(data), keep_payload):
+                for row in parse(file, _plain(bytes(data)), keep_payload):
                     rows.append(row)
                     held += 500 + len(row["payload"] or b"")
                     if held > 8_000_000:
@@ -203,8 +209,9 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = write_archives(pages, fresh_path(spark, "warc"), least_bytes)
-    found = assemble(read_archives(spark, folder, keep_payload=False).select(
-        "record_id", "record_type", "concurrent_to", "refers_to", "fields", "payload_bytes", "payload_digest"))
+    # Archives are parsed once; several joins read the records.
+    found = assemble(settle(read_archives(spark, folder, keep_payload=False).select(
+        "record_id", "record_type", "concurrent_to", "refers_to", "fields", "payload_bytes", "payload_digest")))
     return found.select(
         F.col("metadata.fields")["page-id"].try_cast("bigint").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
