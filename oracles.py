@@ -80,7 +80,7 @@ JARO = _winner(
 ROUND_VOTES = "SELECT url_404, algo, match_url, round(score, 6) AS score, match_idx FROM "
 
 # Longest common subsequence by one bit row per pair, one character of the live key per step.
-FUZZY = """
+FUZZY_STEPS = """
 key_words AS (
   SELECT url, list_sort(list_filter(string_split(lower(regexp_replace(
     regexp_replace(url, '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_]+', ' ', 'g')), ' '), lambda w: w <> '')) AS words
@@ -104,9 +104,10 @@ ratio AS (
   FROM steps WHERE i = length(lk)),
 fuzzy_best AS (
   SELECT r.bk, r.pct, l.live_idx, row_number() OVER (PARTITION BY r.bk ORDER BY r.pct DESC, l.live_idx) AS rn
-  FROM ratio r JOIN lk l ON l.k = r.lk)
-SELECT b.url AS url_404, 'fuzzy' AS algo, l.url AS match_url, round(f.pct / 100, 6) AS score, f.live_idx AS match_idx
-FROM broken b JOIN keys k USING (url) JOIN fuzzy_best f ON f.bk = k.k AND f.rn = 1 JOIN live l ON l.live_idx = f.live_idx
+  FROM ratio r JOIN lk l ON l.k = r.lk),
+fuzzy_votes AS MATERIALIZED (
+  SELECT b.url AS url_404, 'fuzzy' AS algo, l.url AS match_url, f.pct / 100 AS score, f.live_idx AS match_idx
+  FROM broken b JOIN keys k USING (url) JOIN fuzzy_best f ON f.bk = k.k AND f.rn = 1 JOIN live l ON l.live_idx = f.live_idx)
 """
 
 
@@ -151,19 +152,40 @@ spacy_scored AS (
   FROM pairs p JOIN vecs a ON a.url = p.url JOIN vecs b ON b.url = p.live_url)
 """
 
+
+
+def _best_vote(algo: str, scored: str, condition: str = "true") -> str:
+    """Vote rows from a relation that is already scored."""
+    return f"""
+{algo}_ranked AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, live_idx) AS rn FROM {scored}),
+{algo}_votes AS (
+  SELECT url AS url_404, '{algo}' AS algo, live_url AS match_url, score, live_idx AS match_idx
+  FROM {algo}_ranked WHERE rn = 1 AND {condition})"""
+
+
 LANGUAGE = "coalesce(nullif(regexp_extract(url, '/([a-z]{2})/', 1), ''), 'unknown')"
 
 TOPICS = f"""
 topics AS (
   SELECT url, (ascii({LANGUAGE}) % 4)::INTEGER AS topic,
-         length(regexp_extract(url, {URL}, 2))::DOUBLE / length(url) AS prob FROM urls)
+         length(regexp_extract(url, {URL}, 2))::DOUBLE / length(url) AS prob FROM urls),
+bertopic_scored AS (
+  SELECT p.url, p.live_url, p.live_idx, CASE WHEN a.topic = b.topic THEN b.prob ELSE 0.3::DOUBLE * b.prob END AS score
+  FROM pairs p JOIN topics a ON a.url = p.url JOIN topics b ON b.url = p.live_url)
 """
 
+VECTOR_VOTES = _best_vote("vector", "vector_scored")
+SPACY_VOTES = _best_vote("spacy", "spacy_scored", "score >= 0.4")
+BERTOPIC_VOTES = _best_vote("bertopic", "bertopic_scored")
+
+# The matchers that SQL can check, in vote order, and the agreement limits that nine votes allow.
+ALGORITHMS = ("jaccard", "tversky", "hamming", "levenshtein", "fuzzy", "jaro_winkler", "vector", "bertopic", "spacy")
+AGREED, CONFIDENT = 8, 9
+
 VOTES = f"""
-{SPLIT}, {SETS}, {JACCARD}, {TVERSKY}, {HAMMING}, {LEVENSHTEIN},
-votes AS (
-  SELECT *, 1 AS ord FROM jaccard_votes UNION ALL SELECT *, 2 FROM tversky_votes
-  UNION ALL SELECT *, 3 FROM hamming_votes UNION ALL SELECT *, 4 FROM levenshtein_votes),
+{SPLIT}, {SETS}, {JACCARD}, {TVERSKY}, {HAMMING}, {LEVENSHTEIN}, {FUZZY_STEPS}, {JARO}, {TFIDF}, {VECTOR_VOTES},
+{TOPICS}, {BERTOPIC_VOTES}, {TOKEN_VECTORS}, {SPACY_VOTES},
+votes AS MATERIALIZED ({" UNION ALL ".join(f"SELECT *, {i} AS ord FROM {a}_votes" for i, a in enumerate(ALGORITHMS))}),
 cand AS (
   SELECT url_404, match_url, count(*) AS votes, sum(score) AS tot, min(match_idx) AS match_idx, min(ord) AS first_ord,
          arg_min(algo, ord) AS algorithm
@@ -177,7 +199,7 @@ consensus AS (
 wide AS (
   SELECT url_404, {", ".join(
       f"max(match_url) FILTER (algo = '{a}') AS {a}, coalesce(max(score) FILTER (algo = '{a}'), 0) AS {a}_score"
-      for a in ("jaccard", "tversky", "hamming", "levenshtein"))}
+      for a in ALGORITHMS)}
   FROM votes GROUP BY url_404),
 mapping AS (SELECT * FROM wide JOIN consensus USING (url_404))
 """
@@ -311,57 +333,44 @@ def oracle_sql() -> dict[str, str]:
     q["match_hamming"] = f"WITH {SPLIT}, {HAMMING} {ROUND_VOTES} hamming_votes"
     q["match_levenshtein"] = f"WITH {SPLIT}, {LEVENSHTEIN} {ROUND_VOTES} levenshtein_votes"
     q["match_jaro_winkler"] = f"WITH {SPLIT}, {JARO} {ROUND_VOTES} jaro_winkler_votes"
-    q["match_fuzzy"] = f"WITH RECURSIVE {SPLIT}, {FUZZY}"
-    q["match_tfidf"] = f"""WITH {SPLIT}, {TFIDF},
-      b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, live_idx) AS rn FROM vector_scored)
-      SELECT url AS url_404, 'vector' AS algo, live_url AS match_url, round(score, 6) AS score, live_idx AS match_idx
-      FROM b WHERE rn = 1"""
-    q["match_token_vectors"] = f"""WITH {SPLIT}, {TOKEN_VECTORS},
-      b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, live_idx) AS rn FROM spacy_scored)
-      SELECT url AS url_404, 'spacy' AS algo, live_url AS match_url, round(score, 6) AS score, live_idx AS match_idx
-      FROM b WHERE rn = 1 AND score >= 0.4"""
-    q["match_topic"] = f"""WITH {SPLIT}, {TOPICS},
-      s AS (SELECT p.url, p.live_url, p.live_idx,
-                   CASE WHEN a.topic = b.topic THEN b.prob ELSE 0.3::DOUBLE * b.prob END AS score
-            FROM pairs p JOIN topics a ON a.url = p.url JOIN topics b ON b.url = p.live_url),
-      b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC, live_idx) AS rn FROM s)
-      SELECT url AS url_404, 'bertopic' AS algo, live_url AS match_url, round(score, 6) AS score, live_idx AS match_idx
-      FROM b WHERE rn = 1"""
-
-    q["votes"] = f"WITH {VOTES} {ROUND_VOTES} votes"
-    q["mapping"] = f"""WITH {VOTES}
-      SELECT url_404, jaccard, round(jaccard_score, 6) AS jaccard_score, tversky, round(tversky_score, 6) AS tversky_score,
-        hamming, round(hamming_score, 6) AS hamming_score, levenshtein, round(levenshtein_score, 6) AS levenshtein_score,
+    q["match_fuzzy"] = f"WITH RECURSIVE {SPLIT}, {FUZZY_STEPS} {ROUND_VOTES} fuzzy_votes"
+    q["match_tfidf"] = f"WITH {SPLIT}, {TFIDF}, {VECTOR_VOTES} {ROUND_VOTES} vector_votes"
+    q["match_token_vectors"] = f"WITH {SPLIT}, {TOKEN_VECTORS}, {SPACY_VOTES} {ROUND_VOTES} spacy_votes"
+    q["match_topic"] = f"WITH {SPLIT}, {TOPICS}, {BERTOPIC_VOTES} {ROUND_VOTES} bertopic_votes"
+
+    q["votes"] = f"WITH RECURSIVE {VOTES} {ROUND_VOTES} votes"
+    q["mapping"] = f"""WITH RECURSIVE {VOTES}
+      SELECT url_404, {", ".join(f"{a}, round({a}_score, 6) AS {a}_score" for a in ALGORITHMS)},
         round(tot_score, 6) AS tot_score, agreement, best_redirect, round(best_redirect_tot_score, 6) AS best_redirect_tot_score
       FROM mapping"""
-    q["consensus"] = f"""WITH {VOTES}
+    q["consensus"] = f"""WITH RECURSIVE {VOTES}
       SELECT url_404, round(tot_score, 6) AS tot_score, agreement, best_redirect,
         round(best_redirect_tot_score, 6) AS best_redirect_tot_score FROM consensus"""
     q["redirects"] = q["consensus"] + " ORDER BY best_redirect_tot_score DESC, url_404"
-    q["agreement_flags"] = f"""WITH {VOTES}
+    q["agreement_flags"] = f"""WITH RECURSIVE {VOTES}
       SELECT v.url_404, v.algo, v.match_url, round(v.score, 6) AS score,
         coalesce(trim(v.match_url) = trim(c.best_redirect), false) AS is_best
       FROM votes v JOIN consensus c USING (url_404)"""
-    q["algorithm_vote_counts"] = f"""WITH {VOTES}
+    q["algorithm_vote_counts"] = f"""WITH RECURSIVE {VOTES}
       SELECT algo, count(*) AS votes, count(match_url) AS nominations FROM votes GROUP BY algo"""
-    q["urls_with_votes"] = f"WITH {VOTES} SELECT count(DISTINCT url_404) AS urls_with_votes FROM votes"
-    q["distinct_candidates"] = f"""WITH {VOTES}
+    q["urls_with_votes"] = f"WITH RECURSIVE {VOTES} SELECT count(DISTINCT url_404) AS urls_with_votes FROM votes"
+    q["distinct_candidates"] = f"""WITH RECURSIVE {VOTES}
       SELECT url_404, match_url, votes, round(tot, 6) AS tot, algorithm FROM cand"""
-    q["quality_metrics"] = f"""WITH {VOTES}
+    q["quality_metrics"] = f"""WITH RECURSIVE {VOTES}
       SELECT count(*) AS total_urls, count(DISTINCT url_404) AS unique_404s, count(DISTINCT best_redirect) AS unique_redirects,
         round(avg(agreement), 6) AS avg_agreement, round(avg(tot_score), 6) AS avg_score,
-        count(*) FILTER (agreement >= 3) AS high_confidence_redirects,
+        count(*) FILTER (agreement >= {CONFIDENT}) AS high_confidence_redirects,
         round(avg(best_redirect_tot_score), 6) AS avg_best_redirect_score,
         count(*) FILTER (best_redirect_tot_score >= 0.8) AS total_high_confidence FROM mapping"""
-    q["algorithm_stats"] = f"""WITH {VOTES},
+    q["algorithm_stats"] = f"""WITH RECURSIVE {VOTES},
       hits AS (SELECT v.algo AS algorithm, count(*) FILTER (v.match_url = c.best_redirect) AS best_redirect_matches,
                       count(c.best_redirect) AS n
                FROM votes v JOIN consensus c USING (url_404) GROUP BY v.algo)
       SELECT algorithm, best_redirect_matches,
         round(best_redirect_matches::DOUBLE / n * 100, 2)::VARCHAR || '%' AS percentage FROM hits"""
-    q["top_suggestions"] = f"WITH {VOTES}, {QUEUE} SELECT url_404, match_url, votes, rank FROM sugg WHERE rank <= 5"
-    q["review_queue"] = f"WITH {VOTES}, {QUEUE} SELECT url_404, option_no, option_url, is_parent FROM queue"
-    q["verified_pairs"] = f"""WITH {VOTES}, {QUEUE},
+    q["top_suggestions"] = f"WITH RECURSIVE {VOTES}, {QUEUE} SELECT url_404, match_url, votes, rank FROM sugg WHERE rank <= 5"
+    q["review_queue"] = f"WITH RECURSIVE {VOTES}, {QUEUE} SELECT url_404, option_no, option_url, is_parent FROM queue"
+    q["verified_pairs"] = f"""WITH RECURSIVE {VOTES}, {QUEUE},
       verdicts AS (
         SELECT b.url AS url_404,
           CASE s.status WHEN '404' THEN '1' WHEN '503' THEN '2' WHEN '301' THEN 'm' WHEN '200' THEN 'skip' ELSE 'M' END AS choice,
@@ -375,18 +384,34 @@ def oracle_sql() -> dict[str, str]:
       SELECT url_404, manual_url FROM verdicts WHERE lower(choice) = 'm' AND manual_url IN (SELECT url FROM live)"""
 
     q["pair_features"] = f"WITH {FEATURE_PAIRS}"
-    q["training_rows"] = f"""WITH {VOTES}, {HISTORY}
+    q["training_rows"] = f"""WITH RECURSIVE {VOTES}, {HISTORY}
       SELECT url_404, redirect_url AS live_url, 1 AS label, 10::DOUBLE AS weight, 1 AS copies, 'human' AS source
       FROM hist WHERE source = 'human'
       UNION ALL
       SELECT c.url_404, c.match_url, (c.match_url = s.best_redirect)::INTEGER,
-        CASE WHEN s.agreement >= 3 AND c.match_url = s.best_redirect THEN 3::DOUBLE ELSE 1::DOUBLE END,
-        CASE WHEN s.agreement >= 3 AND c.match_url = s.best_redirect THEN 3 ELSE 1 END, 'auto'
-      FROM cand c JOIN consensus s USING (url_404) WHERE s.agreement >= 2"""
-    q["history_auto_rows"] = f"""WITH {VOTES}
+        CASE WHEN s.agreement >= {CONFIDENT} AND c.match_url = s.best_redirect THEN 3::DOUBLE ELSE 1::DOUBLE END,
+        CASE WHEN s.agreement >= {CONFIDENT} AND c.match_url = s.best_redirect THEN 3 ELSE 1 END, 'auto'
+      FROM cand c JOIN consensus s USING (url_404) WHERE s.agreement >= {AGREED}"""
+    q["history_auto_rows"] = f"""WITH RECURSIVE {VOTES}
       SELECT {RUN_AT} AS timestamp, c.url_404, c.match_url AS redirect_url, s.agreement AS agreement_score,
         round(s.tot_score, 6) AS total_score, c.algorithm, c.match_url = s.best_redirect AS is_best_match, 'auto' AS source
-      FROM cand c JOIN consensus s USING (url_404) WHERE s.agreement >= 2"""
+      FROM cand c JOIN consensus s USING (url_404) WHERE s.agreement >= {AGREED}"""
+    counted = f"""SELECT sum(copies)::BIGINT AS n, coalesce(sum(copies) FILTER (label = 1), 0)::BIGINT AS positive
+      FROM ({q["training_rows"]})"""
+    q["training_gate"] = f"""SELECT n, positive, n >= 100 AS enough, positive > 0 AND positive < n AS both_labels FROM ({counted})"""
+    q["model_stats"] = f"""WITH {HISTORY}, gate AS ({counted})
+      SELECT (SELECT n >= 100 FROM gate) AS model_initialized, count(*) AS history_records, 100 AS min_training_samples,
+        CASE WHEN (SELECT n >= 100 FROM gate) THEN 7 ELSE 0 END AS model_features FROM hist"""
+    q["votes_of_listed"] = f"""WITH RECURSIVE {VOTES} {ROUND_VOTES} votes
+      WHERE url_404 IN (SELECT url FROM checks WHERE status = '404')"""
+    q["repaired_features"] = f"""WITH {HISTORY}
+      SELECT timestamp, url_404, redirect_url, agreement_score,
+        round(CASE agreement_score WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 1e9 WHEN 2 THEN -1e9 WHEN 3 THEN 0::DOUBLE ELSE total_score END, 6)
+          AS total_score FROM hist"""
+    scaled = ("segment_match_ratio", "len_ratio", "ext_match", "param_overlap", "domain_match", "tfidf_similarity")
+    q["scaled_features"] = f"""SELECT url_404, live_url, {", ".join(
+        f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0), 4) AS {c}" for c in scaled)}
+      FROM (WITH {FEATURE_PAIRS})"""
     q["history_human_rows"] = f"""WITH {HISTORY}
       SELECT {RUN_AT} AS timestamp, url_404, redirect_url, 999::BIGINT AS agreement_score, 999::DOUBLE AS total_score,
         'human' AS algorithm, true AS is_best_match, 'human' AS source FROM hist WHERE url_404 <> '' AND redirect_url <> ''"""

@@ -47,7 +47,11 @@ class Settings:
     min_training_samples: int = MIN_TRAINING_SAMPLES
     agreement_threshold: int = AGREEMENT_THRESHOLD
     high_confidence_threshold: int = HIGH_CONFIDENCE_THRESHOLD
-    max_history_size: int = MAX_HISTORY_SIZE
+    # No cut unless asked for; MAX_HISTORY_SIZE is the size to ask for.
+    max_history_size: int | None = None
     topics: int = 10
+    # Width of the hashed token space of fitted topics; every token has a place in it.
+    topic_tokens: int = 1 << 18
+    topic_rounds: int = 10
     # A key held by more rows than this (and by more than 1% of them) is split over several tasks.
     hot_key_rows: int = 500

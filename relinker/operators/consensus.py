@@ -20,13 +20,16 @@ def known_votes(votes: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 
 
 def pivot_votes(votes: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """One row per broken URL with ``<algo>`` and ``<algo>_score`` for every algorithm."""
+    """One row per broken URL with ``<algo>`` and ``<algo>_score`` for every algorithm.
+
+    Should an algorithm have several votes for a URL, one vote gives both values: that with the larger score, then URL.
+    """
     named = known_votes(votes, cfg)
     per_algo = []
     for a in [a for a in MAPPING_ORDER if a in cfg.algorithms]:
-        mine = F.col("algo") == a
-        per_algo.append(F.max(F.when(mine, F.col("match_url"))).alias(a))
-        per_algo.append(F.coalesce(F.max(F.when(mine, F.col("score"))), F.lit(0.0)).alias(f"{a}_score"))
+        vote = F.max(F.when(F.col("algo") == a, F.struct("score", "match_url")))
+        per_algo.append(vote["match_url"].alias(a))
+        per_algo.append(F.coalesce(vote["score"], F.lit(0.0)).alias(f"{a}_score"))
     return named.groupBy("url_404").agg(*per_algo)
 
 

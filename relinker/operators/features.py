@@ -64,8 +64,7 @@ def gram_vectors(texts: DataFrame, idf: DataFrame) -> DataFrame:
         "terms", lambda x: F.struct(x["gram"], x["w"] / F.col("norm")))).alias("weights"))
 
 
-def tfidf_similarity(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
-    idf = gram_idf(corpus)
+def tfidf_similarity(pairs: DataFrame, idf: DataFrame) -> DataFrame:
     texts = pairs.select(F.col("url_404").alias("url")).union(pairs.select("live_url")).distinct()
     vectors = gram_vectors(texts, idf)
     both = (
@@ -83,8 +82,8 @@ def repaired(c: str) -> Column:
     return F.greatest(F.least(x, F.lit(1e9)), F.lit(-1e9)).alias(c)
 
 
-def pair_features(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``corpus(url)`` holds the distinct URLs of the run; the n-gram vocabulary is fitted on it.
+def pair_features(pairs: DataFrame, corpus: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
+    """``corpus(url)`` holds the distinct URLs of the run; the n-gram vocabulary is fitted on it, unless ``idf`` is given.
 
     A pair with an empty URL has zeros throughout.
     """
@@ -95,7 +94,7 @@ def pair_features(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
         "domain_match": domain_match(a, b),
     }
     with_basic = pairs.withColumns(named)
-    full = tfidf_similarity(with_basic, corpus)
+    full = tfidf_similarity(with_basic, gram_idf(corpus) if idf is None else idf)
     usable = (F.col("url_404") != "") & (F.col("live_url") != "")
     others = [c for c in pairs.columns]
     return full.select(*others, *[F.when(usable, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in FEATURES])

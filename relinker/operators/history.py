@@ -82,10 +82,12 @@ def newest_per_language(df: DataFrame, n: int) -> DataFrame:
 def retain(history: DataFrame, limit: int | None = None, cfg: Settings = Settings()) -> DataFrame:
     """Cuts a history that has grown over the limit; a shorter one is returned as it is.
 
-    Verified rows always stay. What room is left goes to rows with high agreement, newest first,
+    Without a limit, given or in the settings, nothing is cut. Verified rows always stay. What room is left goes to rows with high agreement, newest first,
     and then to the newest rows of each language in equal shares.
     """
     limit = cfg.max_history_size if limit is None else limit
+    if limit is None:
+        return history
     size = history.count()
     if size <= limit:
         return history

@@ -7,12 +7,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relinker.config import HUMAN_WEIGHT, MAPPING_ORDER, Settings
 from relinker.operators import consensus
-from relinker.operators.features import FEATURES, pair_features, repaired
+from relinker.operators.features import FEATURES, gram_idf, pair_features, repaired
 from relinker.operators.matchers import votes as as_votes
+from relinker.sources.stage import settle
 
 # Forest parameters, and copies that a confident positive row counts for.
 TREES = 100
@@ -24,9 +25,10 @@ CONFIDENT_COPIES = 3
 
 @dataclass(frozen=True)
 class Trained:
-    """A fitted pipeline, or the only label seen when training data had a single class."""
+    """A fitted pipeline with the n-gram weights its features come from, or the only label seen when training data had a single class."""
     pipeline: PipelineModel | None
     only_label: int | None = None
+    idf: DataFrame | None = None
 
 
 def auto_training_rows(votes: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -56,6 +58,29 @@ def training_rows(votes: DataFrame, history: DataFrame, cfg: Settings = Settings
     return human_training_rows(history).unionByName(auto_training_rows(votes, cfg))
 
 
+def training_gate(rows: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Training rows counted with their copies, and whether they are enough and of both classes."""
+    n, positive = F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("copies"))), F.lit(0))
+    return rows.agg(n.alias("n"), positive.alias("positive")).select(
+        "n", "positive", (F.col("n") >= cfg.min_training_samples).alias("enough"),
+        ((F.col("positive") > 0) & (F.col("positive") < F.col("n"))).alias("both_labels"))
+
+
+def scaler(columns: tuple[str, ...]) -> list:
+    """Stages that give ``features``: the columns less their mean, in units of their standard deviation."""
+    return [
+        VectorAssembler(inputCols=list(columns), outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
+    ]
+
+
+def scaled(data: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns, scaled over all rows; other columns stay."""
+    found = Pipeline(stages=scaler(columns)).fit(data).transform(data).withColumn("_scaled", vector_to_array("features"))
+    others = [c for c in data.columns if c not in columns]
+    return found.select(*others, *[F.col("_scaled")[i].alias(c) for i, c in enumerate(columns)])
+
+
 def fit(rows: DataFrame, corpus: DataFrame, cfg: Settings = Settings()) -> Trained | None:
     """Fits the forest, or returns None while there are too few rows.
 
@@ -64,52 +89,51 @@ def fit(rows: DataFrame, corpus: DataFrame, cfg: Settings = Settings()) -> Train
     """
     merged = rows.groupBy("url_404", "live_url", "label").agg(
         F.sum("weight").alias("weight"), F.sum("copies").alias("copies"))
-    seen = merged.agg(
-        F.sum("copies").alias("n"), F.sum(F.when(F.col("label") == 1, F.col("copies"))).alias("positive")).first()
-    n, positive = seen["n"] or 0, seen["positive"] or 0
-    if n < cfg.min_training_samples:
+    seen = training_gate(merged, cfg).first()
+    n, positive = seen["n"], seen["positive"]
+    if not seen["enough"]:
         return None
-    if positive in (0, n):
+    if not seen["both_labels"]:
         return Trained(None, int(positive > 0))
     balance = F.when(F.col("label") == 1, n / (2.0 * positive)).otherwise(n / (2.0 * (n - positive)))
-    data = pair_features(merged, corpus).select(
+    idf = settle(gram_idf(corpus))
+    data = pair_features(merged, idf=idf).select(
         *[repaired(c) for c in FEATURES], F.col("label").cast("double").alias("label"),
         (F.col("weight") * balance).alias("weight"))
     pipeline = Pipeline(stages=[
-        VectorAssembler(inputCols=list(FEATURES), outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
+        *scaler(FEATURES),
         RandomForestClassifier(
             labelCol="label", featuresCol="features", weightCol="weight", numTrees=TREES, maxDepth=DEPTH,
             minInstancesPerNode=MIN_LEAF, seed=SEED),
     ])
-    return Trained(pipeline.fit(data))
+    return Trained(pipeline.fit(data), None, idf)
 
 
-def confidence(pairs: DataFrame, corpus: DataFrame, trained: Trained) -> DataFrame:
-    """Adds the positive-class probability of each pair."""
+def confidence(pairs: DataFrame, trained: Trained) -> DataFrame:
+    """Adds the positive-class probability of each pair. Its features use the n-gram weights the forest was fitted with."""
     if trained.pipeline is None:
         return pairs.withColumn("confidence", F.lit(float(trained.only_label)))
-    repaired_rows = pair_features(pairs, corpus).select(*pairs.columns, *[repaired(c) for c in FEATURES])
+    repaired_rows = pair_features(pairs, idf=trained.idf).select(*pairs.columns, *[repaired(c) for c in FEATURES])
     return trained.pipeline.transform(repaired_rows).select(
         *pairs.columns, vector_to_array("probability")[1].alias("confidence"))
 
 
-def _best_candidate(votes: DataFrame, corpus: DataFrame, trained: Trained, cfg: Settings) -> DataFrame:
+def _best_candidate(votes: DataFrame, trained: Trained, cfg: Settings) -> DataFrame:
     """Most confident of the other algorithms' nominations; ties go to the first in column order."""
     others = tuple(a for a in MAPPING_ORDER if a != "ml" and a in cfg.algorithms)
     named = votes.where(F.lower("algo").isin(*others) & F.col("match_url").isNotNull() & (F.col("match_url") != ""))
     distinct = named.groupBy("url_404", "match_url").agg(
         F.min(consensus.algo_order(F.col("algo"), others)).alias("place"), F.min("match_idx").alias("match_idx"))
-    scored = confidence(distinct.withColumnRenamed("match_url", "live_url"), corpus, trained)
+    scored = confidence(distinct.withColumnRenamed("match_url", "live_url"), trained)
     best = scored.groupBy("url_404").agg(F.max(F.struct(
         "confidence", (-F.col("place")).alias("order"), "live_url", "match_idx")).alias("b"))
     return best.select(F.col("url_404").alias("url"), "b.live_url", F.col("b.confidence").alias("score"),
                        F.col("b.match_idx").alias("live_idx"))
 
 
-def ml_match(votes: DataFrame, corpus: DataFrame, trained: Trained, cfg: Settings = Settings()) -> DataFrame:
+def ml_match(votes: DataFrame, trained: Trained, cfg: Settings = Settings()) -> DataFrame:
     """First pass: the best candidate where its confidence reaches the threshold, else NULL and 0."""
-    best = _best_candidate(votes, corpus, trained, cfg)
+    best = _best_candidate(votes, trained, cfg)
     hit = F.col("score") >= cfg.ml_threshold
     return as_votes(
         best.select("url", F.when(hit, F.col("live_url")).alias("u"),
@@ -118,11 +142,11 @@ def ml_match(votes: DataFrame, corpus: DataFrame, trained: Trained, cfg: Setting
         "ml", "u", "s", "i")
 
 
-def ml_consensus(votes: DataFrame, corpus: DataFrame, trained: Trained | None, cfg: Settings = Settings()) -> DataFrame:
+def ml_consensus(votes: DataFrame, trained: Trained | None, cfg: Settings = Settings()) -> DataFrame:
     """Second pass: the best candidate, at any confidence, takes the place of the ``ml`` vote."""
     if trained is None:
         return votes
-    new = as_votes(_best_candidate(votes, corpus, trained, cfg), "ml", "live_url", "score", "live_idx")
+    new = as_votes(_best_candidate(votes, trained, cfg), "ml", "live_url", "score", "live_idx")
     old = votes.where(F.lower("algo") == "ml").join(new.select("url_404"), "url_404", "left_anti")
     return votes.where(F.lower("algo") != "ml").unionByName(old).unionByName(new)
 
@@ -134,9 +158,16 @@ def model_stats(history: DataFrame, trained: Trained | None, cfg: Settings = Set
         F.lit(len(FEATURES) if trained is not None else 0).alias("model_features"))
 
 
-def save(trained: Trained, path: str) -> None:
-    trained.pipeline.write().overwrite().save(path)
+def save(trained: Trained, spark: SparkSession, path: str) -> None:
+    """Writes the model as one unit: the label, and where there is a forest, its pipeline and n-gram weights."""
+    if trained.pipeline is not None:
+        trained.pipeline.write().overwrite().save(f"{path}/pipeline")
+        trained.idf.write.mode("overwrite").parquet(f"{path}/idf")
+    spark.createDataFrame([(trained.only_label,)], "only_label int").write.mode("overwrite").parquet(f"{path}/label")
 
 
-def load(path: str) -> Trained:
-    return Trained(PipelineModel.load(path))
+def load(spark: SparkSession, path: str) -> Trained:
+    label = spark.read.parquet(f"{path}/label").first()["only_label"]
+    if label is not None:
+        return Trained(None, label)
+    return Trained(PipelineModel.load(f"{path}/pipeline"), None, spark.read.parquet(f"{path}/idf"))

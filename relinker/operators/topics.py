@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,16 +26,16 @@ def topic_match(broken: DataFrame, live: DataFrame, topics: DataFrame) -> DataFr
         .groupBy("topic")
         .agg(F.max(F.struct("prob", (-F.col("live_idx")).alias("order"), "url")).alias("b"))
     )
-    # One row per topic, so this list is as short as the topic model is small.
-    leaders = best.select(F.slice(F.sort_array(F.collect_list(F.struct(
-        (F.col("b.prob") * OTHER_TOPIC).alias("score"), F.col("b.order").alias("order"), F.col("b.url").alias("url"),
-        "topic")), asc=False), 1, 2).alias("leaders")).scalar()
+    # The two best topics, each by a maximum of its own, so no list of topics is gathered.
+    entry = F.struct(
+        (F.col("b.prob") * OTHER_TOPIC).alias("score"), F.col("b.order").alias("order"), F.col("b.url").alias("url"), "topic")
+    first = best.select(F.max(entry).alias("m")).scalar()
+    second = best.select(F.when(F.col("topic") != first["topic"], entry).alias("m")).select(F.max("m").alias("m")).scalar()
     out = (
         broken.join(topics.select("url", "topic"), "url")
         .join(best, "topic", "left")
-        .withColumn("leaders", leaders)
-        .withColumn("other", F.try_element_at(
-            F.filter("leaders", lambda x: x["topic"] != F.col("topic")), F.lit(1)))
+        .withColumn("first", first).withColumn("second", second)
+        .withColumn("other", F.when(F.col("first.topic") != F.col("topic"), F.col("first")).otherwise(F.col("second")))
         .withColumn("win", F.greatest(
             F.when(F.col("b").isNotNull(), F.struct(
                 F.col("b.prob").alias("score"), F.col("b.order").alias("order"), F.col("b.url").alias("url"))),
@@ -52,12 +52,16 @@ def topic_match(broken: DataFrame, live: DataFrame, topics: DataFrame) -> DataFr
 
 
 def fit_topics(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Topics of all URLs from one LDA model fitted on broken and live URLs together."""
+    """Topics of all URLs from one LDA model fitted on broken and live URLs together.
+
+    Every round reads all URLs, and every token counts: tokens are hashed, so there is no vocabulary to cut or collect.
+    """
     texts = broken.select("url").union(live.select("url")).distinct().select(
         "url", urls.nlp_tokens(F.lower("url")).alias("tokens"))
     model = Pipeline(stages=[
-        CountVectorizer(inputCol="tokens", outputCol="counts"),
-        LDA(k=cfg.topics, seed=42, maxIter=10, featuresCol="counts", topicDistributionCol="dist"),
+        HashingTF(inputCol="tokens", outputCol="counts", numFeatures=cfg.topic_tokens),
+        LDA(k=cfg.topics, seed=42, maxIter=cfg.topic_rounds, subsamplingRate=1.0, featuresCol="counts",
+            topicDistributionCol="dist"),
     ]).fit(texts)
     dist = model.transform(texts).select("url", vector_to_array("dist").alias("d"))
     return dist.select(

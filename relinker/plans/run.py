@@ -29,15 +29,25 @@ MATCHERS: dict[str, Matcher] = {
 def find_votes(broken: DataFrame, live: DataFrame, cfg: Settings = Settings(),
                token_vectors: DataFrame | None = None, page_topics: DataFrame | None = None,
                trained: model.Trained | None = None) -> DataFrame:
-    """Votes of all enabled matchers. A matcher without its vectors, topics or model has none."""
+    """Votes of all enabled matchers.
+
+    Topics that are not given are fitted. ``spacy`` cannot do without token vectors, so their absence is an error. Only
+    ``ml`` may be missing: before the first run has learned from its votes there is no model.
+    """
+    unknown = [a for a in cfg.algorithms if a not in (*MATCHERS, "bertopic", "spacy", "ml")]
+    if unknown:
+        raise ValueError(f"unknown matchers: {', '.join(unknown)}")
+    if "spacy" in cfg.algorithms and token_vectors is None:
+        raise ValueError("the matcher spacy needs token vectors: give them or leave it out of Settings.algorithms")
     parts = [match(broken, live, cfg) for name, match in MATCHERS.items() if name in cfg.algorithms]
-    if "bertopic" in cfg.algorithms and page_topics is not None:
-        parts.append(topics.topic_match(broken, live, page_topics))
-    if "spacy" in cfg.algorithms and token_vectors is not None:
+    if "bertopic" in cfg.algorithms:
+        given = page_topics if page_topics is not None else settle(topics.fit_topics(broken, live, cfg))
+        parts.append(topics.topic_match(broken, live, given))
+    if "spacy" in cfg.algorithms:
         parts.append(vectors.token_vector_match(broken, live, token_vectors, cfg))
     votes = settle(reduce(DataFrame.unionByName, parts))
     if "ml" in cfg.algorithms and trained is not None:
-        votes = votes.unionByName(model.ml_match(votes, corpus_of(broken, live), trained, cfg))
+        votes = votes.unionByName(model.ml_match(votes, trained, cfg))
     return votes
 
 
@@ -58,11 +68,16 @@ class Outcome:
 
 def run(broken: DataFrame, live: DataFrame, history: DataFrame, cfg: Settings = Settings(),
         token_vectors: DataFrame | None = None, page_topics: DataFrame | None = None,
-        trained: model.Trained | None = None, run_at: Column | None = None) -> Outcome:
-    """Votes, agreement, learned vote, agreement again, then learning from this run's agreement."""
-    votes = find_votes(broken, live, cfg, token_vectors, page_topics, trained)
+        trained: model.Trained | None = None, run_at: Column | None = None, votes: DataFrame | None = None) -> Outcome:
+    """Votes, agreement, learned vote, agreement again, then learning from this run's agreement.
+
+    ``votes`` are those of an earlier round over the same URLs; they are used as they are.
+    """
+    if votes is None:
+        votes = find_votes(broken, live, cfg, token_vectors, page_topics, trained)
     corpus = corpus_of(broken, live)
-    final_votes = settle(model.ml_consensus(votes, corpus, trained, cfg)) if trained else votes
+    learned = trained is not None and "ml" in cfg.algorithms
+    final_votes = settle(model.ml_consensus(votes, trained, cfg)) if learned else votes
     table = consensus.mapping(final_votes, cfg)
     refit = model.fit(model.training_rows(final_votes, history, cfg), corpus, cfg)
     grown = hist.retain(hist.add_rows(history, hist.auto_rows(final_votes, run_at, cfg)), cfg=cfg)
@@ -70,3 +85,12 @@ def run(broken: DataFrame, live: DataFrame, history: DataFrame, cfg: Settings =
         mapping=table, redirects=consensus.redirects(table), algorithm_stats=reports.algorithm_stats(table, cfg),
         quality_metrics=reports.quality_metrics(table), votes=final_votes, history=grown,
         trained=refit or trained)
+
+
+def two_rounds(broken: DataFrame, live: DataFrame, history: DataFrame, cfg: Settings = Settings(),
+               token_vectors: DataFrame | None = None, page_topics: DataFrame | None = None) -> Outcome:
+    """A first round without a model, then a second over its votes with the model it has learned, if there was enough to learn."""
+    first = run(broken, live, history, cfg, token_vectors, page_topics)
+    if first.trained is None:
+        return first
+    return run(broken, live, history, cfg, trained=first.trained, votes=first.votes)

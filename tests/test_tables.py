@@ -160,11 +160,16 @@ def test_model_learns_saves_and_loads(spark, tmp_path):
     assert only.only_label == 1
     trained = model.fit(train, corpus)
     votes = votes_of(spark, [(urls[0], "jaccard", rows[60][1], 1.0, 1), (urls[0], "fuzzy", rows[0][1], 1.0, 0)])
-    voted = {r["algo"]: r for r in model.ml_consensus(votes, corpus, trained).collect()}
+    voted = {r["algo"]: r for r in model.ml_consensus(votes, trained).collect()}
     assert voted["ml"]["match_url"] == rows[0][1] and voted["ml"]["score"] > 0.7
-    model.save(trained, str(tmp_path / "m"))
-    again = model.ml_match(votes, corpus, model.load(str(tmp_path / "m"))).first()
-    assert again["score"] == pytest.approx(voted["ml"]["score"])
+    model.save(trained, spark, str(tmp_path / "m"))
+    again = model.load(spark, str(tmp_path / "m"))
+    assert model.ml_match(votes, again).first()["score"] == pytest.approx(voted["ml"]["score"])
+    # The loaded model brings its own n-gram weights, whatever URLs it meets.
+    assert {tuple(r) for r in again.idf.collect()} == {tuple(r) for r in trained.idf.collect()}
+    model.save(only, spark, str(tmp_path / "one"))
+    assert model.load(spark, str(tmp_path / "one")) == only
+    assert {r["score"] for r in model.ml_match(votes, only).collect()} == {1.0}
     assert model.model_stats(tables.empty_history(spark), None).first()["model_features"] == 0
 
 
