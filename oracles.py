@@ -37,7 +37,10 @@ SPLIT = f"""
 {URLS}, {CHECKS},
 st AS (
   SELECT u.url, u.idx, coalesce(s.status, '') IN ('404', 'httpx error') AS failed
-  FROM urls u LEFT JOIN (SELECT url, arg_max(status, attempt) AS status FROM checks GROUP BY url) s USING (url)),
+  FROM urls u LEFT JOIN (
+    SELECT url, CASE WHEN arg_min(status, attempt) IN ('503', 'httpx error') THEN arg_max(status, attempt)
+                     ELSE arg_min(status, attempt) END AS status
+    FROM checks GROUP BY url) s USING (url)),
 broken AS (SELECT url, idx FROM st WHERE failed),
 live AS (SELECT url, idx AS live_idx FROM st WHERE NOT failed),
 pairs AS (SELECT b.url, b.idx, l.url AS live_url, l.live_idx FROM broken b CROSS JOIN live l)
@@ -318,7 +321,7 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN kind = 'click' THEN '301 https://' || regexp_replace(url, '^https?://', '') ELSE '' END AS chain
       FROM checks"""
     q["attach_status"] = f"""WITH {URLS}, {CHECKS}
-      SELECT u.url, u.idx, s.status, coalesce(try_cast(s.status AS INTEGER), 0) AS status_code
+      SELECT u.url, u.idx, s.status, try_cast(s.status AS INTEGER)::VARCHAR AS status_code
       FROM urls u LEFT JOIN (SELECT url, arg_max(status, attempt) AS status FROM checks GROUP BY url) s USING (url)"""
     q["problematic_checks"] = f"""WITH {CHECKS} SELECT url, attempt, status FROM checks WHERE status IN ('503', 'httpx error')"""
     q["retry_overlay"] = f"""WITH {CHECKS}

@@ -1,7 +1,7 @@
 """Input tables of the mapping run, derived from the parquet files of a data folder.
 
 * ``page_checks``: the check log; an event of user u is a check of page u.
-* ``broken`` / ``live``: pages whose last check failed, and all other pages.
+* ``broken`` / ``live``: pages whose check, or the retry of a problematic check, failed, and all other pages.
 * ``match_history``: one past nomination per event, from page (event id) to page (user id).
 * ``token_vectors``, ``page_topics``: vectors and topics given from outside.
 """
@@ -51,7 +51,9 @@ def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broken_and_live(spark: SparkSession, sf_dir: str, cfg: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     log = page_checks(spark, sf_dir).select("url", "attempt", "status")
-    status = settle(checks.attach_status(page_urls(spark, sf_dir), log).select("url", "idx", "status"))
+    # A first check that was a problem is replaced by its retry before anything is called broken.
+    overlay = checks.retry_overlay(log, cfg).select("url", "status")
+    status = settle(page_urls(spark, sf_dir).join(overlay, "url", "left"))
     failed = checks.is_broken(F.col("status"), cfg)
     broken = status.where(failed).select("url", "idx")
     live = status.where(~failed).select("url", F.col("idx").alias("live_idx"))

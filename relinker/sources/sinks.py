@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from relinker.functions import urls
 from relinker.operators.consensus import by_score, redirects
+from relinker.sources.tables import VERSION, current_version
 
 
 def run_name(mapping_df: DataFrame, at: datetime) -> str:
@@ -39,4 +40,18 @@ def write_mapping(mapping_df: DataFrame, stats: DataFrame, base: str, at: dateti
 
 
 def append_history(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    """Adds rows to the current version of a history."""
+    _write_version(rows, path, current_version(rows.sparkSession, path) or 0)
+
+
+def write_history(rows: DataFrame, path: str) -> None:
+    """Writes a whole history, such as one that ``retain`` has cut, as a new version; readers then see only that one.
+
+    The old version stays until its folder is removed, so the new rows may well be read from it.
+    """
+    version = current_version(rows.sparkSession, path)
+    _write_version(rows, path, 0 if version is None else version + 1)
+
+
+def _write_version(rows: DataFrame, path: str, version: int) -> None:
+    rows.drop(VERSION).withColumn(VERSION, F.lit(version)).write.mode("append").partitionBy(VERSION).parquet(path)

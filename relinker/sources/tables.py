@@ -8,6 +8,9 @@ from relinker import schemas
 from relinker.functions import urls
 
 
+VERSION = "history_version"
+
+
 def load_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     """Reads a parquet, CSV or JSON table and refuses an empty one (one row is looked at)."""
     reader = spark.read.format(fmt)
@@ -57,11 +60,28 @@ def normalise_source(history: DataFrame) -> DataFrame:
     return history.withColumn("source", F.coalesce("source", F.lit("auto")))
 
 
-def load_history(spark: SparkSession, path: str) -> DataFrame:
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        history = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        return None
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version of a stored history; versions are folders, so no rows are read."""
+    stored = _stored(spark, path)
+    if stored is None:
+        return None
+    return stored.select(F.max(VERSION)).first()[0] if VERSION in stored.columns else 0
+
+
+def load_history(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a history; an absent one is empty, and one written without versions is read as it is."""
+    stored = _stored(spark, path)
+    if stored is None:
         return empty_history(spark)
-    return normalise_source(history)
+    if VERSION in stored.columns:
+        stored = stored.where(F.col(VERSION) == current_version(spark, path)).drop(VERSION)
+    return normalise_source(stored)

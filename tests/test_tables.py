@@ -1,5 +1,6 @@
 """Check log, consensus, history, review, features, model and storage."""
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from relinker import schemas
 from relinker.config import Settings
 from relinker.operators import checks, consensus, features, history, model, reports, review
-from relinker.sources import sinks, tables
+from relinker.plans import run
+from relinker.sources import sinks, stage, tables
 
 
 def votes_of(spark, rows):
@@ -186,6 +188,44 @@ def test_sinks_and_history_round_trip(spark, tmp_path):
     sinks.append_history(history.human_rows(spark.createDataFrame([("a", "b"), ("", "c")], "url_404 string, live_url string")), path)
     sources = [r["source"] for r in tables.load_history(spark, path).collect()]
     assert sorted(sources) == ["auto", "auto", "human", "human"]
+    # A cut history takes the place of the old one; more rows go to the new version.
+    sinks.write_history(history.retain(tables.load_history(spark, path), 3), path)
+    assert tables.load_history(spark, path).count() == 3
+    sinks.append_history(history_rows(spark, 1, 0, []), path)
+    back = tables.load_history(spark, path)
+    assert back.count() == 4 and sinks.VERSION not in back.columns
+
+
+def test_history_is_cut_only_on_request(spark):
+    past = history_rows(spark, 1, 1, ["/en/"] * 5)
+    assert history.retain(past).count() == 7
+    assert history.retain(past, cfg=Settings(max_history_size=3)).count() == 3
+
+
+def test_missing_inputs_are_errors(spark, sample):
+    broken, live = sample
+    with pytest.raises(ValueError, match="spacy"):
+        run.find_votes(broken, live, Settings(algorithms=("jaccard", "spacy")))
+    with pytest.raises(ValueError, match="mystery"):
+        run.find_votes(broken, live, Settings(algorithms=("mystery",)))
+    fitted = run.find_votes(broken, live, Settings(algorithms=("jaccard", "bertopic")))
+    assert {r["algo"] for r in fitted.collect()} == {"jaccard", "bertopic"}
+
+
+def test_second_round_has_a_learned_vote(spark, sample):
+    broken, live = sample
+    past = spark.createDataFrame([
+        (at(i), f"https://www.example.com/old/{i}", f"https://www.example.com/new/{i}", 999, 1.0, "human", True, "human")
+        for i in range(120)], schemas.HISTORY)
+    outcome = run.two_rounds(broken, live, past, Settings(algorithms=("jaccard", "ml")))
+    assert {r["algo"] for r in outcome.votes.collect()} == {"jaccard", "ml"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda key, default: default)
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage.shared_folder(SimpleNamespace(conf=conf, sparkContext=context))
 
 
 def test_registry():
