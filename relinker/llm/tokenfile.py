@@ -26,8 +26,8 @@ from relinker.llm.common import fresh_path, maybe_broadcast, settle
 # Fixed value: the id after every document.
 END = 2
 
-BLOCK = 4096
-GROUP = 1536
+BLOCK = 2048
+GROUP = 4096
 MAGIC = b"RCB1"
 HEAD = "<4sIIII"
 PIECE = "<qqIBB"
