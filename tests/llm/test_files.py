@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relinker.llm import bpe, tokenfile, topk, vectordup, warc
 from relinker.llm.common import components
+from tests_support import plain_encoding
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, score string, rank int"
 
@@ -214,13 +215,7 @@ PATH = "word_bpe_49k.json"
 
 
 def plain(text):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(bpe.tokenizer_path(PATH))
-    t.no_truncation()
-    t.no_padding()
-    ids = t.encode(text or "", add_special_tokens=False).ids
-    return ids, t.decode(ids, skip_special_tokens=False)
+    return plain_encoding(text, PATH)
 
 
 def test_encoding_is_that_of_the_library(spark):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relinker.llm import chains, langid, minhash, mixing, pii, quality
+from tests_support import brute_components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, score double, kept boolean"
 
@@ -168,21 +169,6 @@ def test_quality_on_awkward_rows(awkward, spark):
 
 # Near duplicates
 
-def brute_components(texts, percent):
-    sets = []
-    for t in texts:
-        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in (t or "")))
-        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = [new if r == old else r for r in root]
-    return [len(s) for s in sets], root
-
-
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_against_all_pairs(spark, percent):
     rng = np.random.default_rng(4)
