@@ -93,7 +93,11 @@ class Tree:
 
     def leaf(self, run: str, ends: bool) -> list[tuple[int, int]]:
         """(id, characters) of each token."""
-        return [(t.id, t.offsets[1] - t.offsets[0]) for t in (self.last if ends else self.inner).tokenize(run)]
+        tokens = (self.last if ends else self.inner).tokenize(run)
+        if run.isascii():
+            return [(t.id, t.offsets[1] - t.offsets[0]) for t in tokens]
+        raw = run.encode()
+        return [(t.id, len(raw[t.offsets[0]:t.offsets[1]].decode())) for t in tokens]
 
     def join(self, run: str, left: list, right: list, ends: bool) -> list:
         """``run`` is the text of both sides; ``ends``: it reaches the end of its word."""
