@@ -20,8 +20,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.prepare_urls(read(spark, sf_dir, "pages"), "url", F.col("page_id"))
+def page_urls(spark: SparkSession, sf_dir: str, cfg: Settings = Settings()) -> DataFrame:
+    return tables.prepare_urls(read(spark, sf_dir, "pages"), "url", F.col("page_id"), cfg.clean)
 
 
 def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def broken_and_live(spark: SparkSession, sf_dir: str, cfg: Settings = Settings()
     log = page_checks(spark, sf_dir).select("url", "attempt", "status")
     # A first check that was a problem is replaced by its retry before anything is called broken.
     overlay = checks.retry_overlay(log, cfg).select("url", "status")
-    status = settle(page_urls(spark, sf_dir).join(overlay, "url", "left"))
+    status = settle(page_urls(spark, sf_dir, cfg).join(overlay, "url", "left"))
     failed = checks.is_broken(F.col("status"), cfg)
     broken = status.where(failed).select("url", "idx")
     live = status.where(~failed).select("url", F.col("idx").alias("live_idx"))
