@@ -6,7 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relinker.llm.common import components, settle, written
 
@@ -21,6 +21,9 @@ DEVIATIONS = 4.6
 AGREE = 4
 SALTS = 16
 SLICE = 500
+#: A document that met a leader without a link is compared with so many of the most typical members of the leader's component
+#: before what is still apart is searched by whole sets.
+TYPICAL = 24
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -106,10 +109,10 @@ def representatives(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def lists(reps: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists (value, doc_id, n, agree): each sketch enters the lists of its rarest values.
+    """Inverted lists (value, doc_id, n, agree, lone): each sketch enters the lists of its rarest values.
 
     Two sketches that share ``need`` of their values share ``agree`` of the size - need + agree rarest of each (by number
-    of documents, then value). For sets so small that sketches of all partners are whole, ``need`` is exact; otherwise it is what a pair
+    of documents, then value); ``lone`` counts the values that no other sketch has. For sets so small that sketches of all partners are whole, ``need`` is exact; otherwise it is what a pair
     at the threshold shares, less ``DEVIATIONS``. Values of one document only count towards the rarest, as no list has them.
     """
     share = percent / 100
@@ -125,9 +128,11 @@ def lists(reps: DataFrame, percent: int) -> DataFrame:
     by_doc = shared.groupBy("doc_id").agg(
         F.first("n").alias("n"), F.first("agree").alias("agree"), F.first("rarest").alias("rarest"), F.first("size").alias("size"),
         F.sort_array(F.collect_list(F.struct("docs", "value"))).alias("values"))
-    left = F.col("rarest") - (F.col("size") - F.size("values"))
+    lone = F.col("size") - F.size("values")
+    left = F.col("rarest") - lone
     return by_doc.where(left > 0).select(
-        "doc_id", "n", "agree", F.explode(F.transform(F.slice("values", F.lit(1), left), lambda v: v["value"])).alias("value"))
+        "doc_id", "n", "agree", lone.alias("lone"), F.explode(F.slice("values", F.lit(1), left)).alias("v")).select(
+        "doc_id", "n", "agree", "lone", "v.value")
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -135,38 +140,89 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
 
 
 def leader_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each document with the leaders of its lists, where both meet often enough."""
-    leader = posts.groupBy("value").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n", "agree")).alias("lead"))
+    """(a, b): each document with the leaders of its lists, where both meet often enough.
+
+    The leader has the fewest lone values: of a text and its edited copies that is the text or one close to it.
+    """
+    leader = posts.groupBy("value").agg(F.min(F.struct("lone", F.xxhash64("doc_id").alias("h"), "doc_id", "n", "agree")).alias("lead"))
     both = posts.join(settle(leader.select("value", "lead.doc_id", "lead.n", "lead.agree").toDF("value", "b", "m", "agree_b")), "value")
     met = both.where((F.col("doc_id") != F.col("b")) & _fits(F.col("n"), F.col("m"), percent))
     return met.groupBy(F.col("doc_id").alias("a"), "b").agg(
         F.count("*").alias("met"), F.first(F.least("agree", "agree_b")).alias("agree")).where("met >= agree").select("a", "b")
 
 
+def _rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
+    placed = frame.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    return placed.withColumn("root", F.coalesce("root", "doc_id"))
+
+
+def _split(placed: DataFrame, group: str) -> DataFrame:
+    """(group, main, members): groups of more than one component, with their largest."""
+    by_root = placed.groupBy(group, "root").agg(F.count("*").alias("members"))
+    return by_root.groupBy(group).agg(
+        F.max(F.struct("members", "root")).alias("top"), F.count("*").alias("roots"), F.sum("members").alias("members")
+    ).where("roots > 1").select(group, F.col("top.root").alias("main"), "members")
+
+
+def typical_pairs(met: DataFrame, posts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents outside the component of a leader they met, each with its ``TYPICAL`` most typical members."""
+    docs = posts.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("lone").alias("lone"))
+    placed = settle(_rooted(docs, roots))
+    order = Window.partitionBy("root").orderBy("lone", F.xxhash64("doc_id"), "doc_id")
+    typical = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TYPICAL).select(
+        "root", F.col("doc_id").alias("b"), F.col("n").alias("m"))
+    asked = (
+        met.join(placed.select(F.col("doc_id").alias("a"), "n", F.col("root").alias("root_a")), "a")
+        .join(placed.select(F.col("doc_id").alias("b"), "root"), "b").where("root_a != root").select("a", "n", "root").distinct())
+    return asked.join(typical, "root").where(_fits(F.col("n"), F.col("m"), percent)).select("a", "b")
+
+
+def whole_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Inverted lists (value, doc_id, n, place) of whole sets: two sets at the threshold share one of the rarest values of each.
+
+    A set of n values shares all but n - ceil(n * percent / 100) with such a partner. Values of one document, as edits make
+    them, come first, so a copy with too many edits is in no list.
+    """
+    n = F.size("shingles")
+    sized = sets.select("doc_id", n.alias("n"), (n - F.ceil(n * percent / 100).cast("int") + 1).alias("rarest"), "shingles")
+    held = sized.select("doc_id", "n", "rarest", F.explode("shingles").alias("value"))
+    common = settle(held.groupBy("value").agg(F.count("*").alias("docs")).where("docs > 1"))
+    by_doc = held.join(common, "value").groupBy("doc_id").agg(
+        F.first("n").alias("n"), F.first("rarest").alias("rarest"), F.sort_array(F.collect_list(F.struct("docs", "value"))).alias("values"))
+    lone = F.col("n") - F.size("values")
+    left = F.col("rarest") - lone
+    return by_doc.where(left > 0).select("doc_id", "n", lone.alias("lone"), F.posexplode(F.slice("values", F.lit(1), left)).alias("at", "v")).select(
+        "doc_id", "n", "v.value", (F.col("lone") + F.col("at")).alias("place"))
+
+
+def open_documents(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id): documents that share enough lists with another component; no others can have a link between components."""
+    placed = settle(_rooted(posts, roots))
+    live = placed.join(settle(_split(placed, "value")), "value")
+    return live.groupBy("doc_id").agg(F.count("*").alias("lists"), F.first("agree").alias("agree")).where("lists >= agree - 1").select("doc_id")
+
+
 def other_pairs(posts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents of different components that meet often enough.
+    """(a, b): documents of different components that meet in a list early enough.
 
-    In each list the component with the most documents is not matched with itself, so a group of near copies that the
-    leaders have joined makes no pairs. The two sides of a long list are cut into slices that meet one another.
+    The first value that two sets share stands at some place of each; what they share is at most what follows from there.
+
+    In each list the component with the most documents is not matched with itself, so a group of near copies that is
+    joined already makes no pairs. The two sides of a long list are cut into slices that meet one another.
     """
-    placed = settle(posts.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
-    by_root = placed.groupBy("value", "root").agg(F.count("*").alias("members"))
-    open_lists = settle(
-        by_root.groupBy("value").agg(
-            F.max(F.struct("members", "root")).alias("top"), F.count("*").alias("roots"), F.sum("members").alias("members"))
-        .where("roots > 1").select("value", F.col("top.root").alias("main"), F.ceil(F.col("members") / SLICE).alias("slices")))
-    live = placed.join(open_lists, "value").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")))
-    live = settle(live)
+    placed = settle(_rooted(posts, roots))
+    open_lists = settle(_split(placed, "value").withColumn("slices", F.ceil(F.col("members") / SLICE)))
+    live = settle(placed.join(open_lists, "value").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices"))))
     few = live.where("root != main").select(
-        "value", F.col("doc_id").alias("a"), "n", "agree", F.col("root").alias("root_a"), F.col("slice").alias("own"),
+        "value", F.col("doc_id").alias("a"), "n", F.col("place").alias("place_a"), F.col("root").alias("root_a"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
     all_of = live.select(
-        "value", "slice", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("agree").alias("agree_b"), F.col("root").alias("root_b"),
+        "value", "slice", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_b"), F.col("root").alias("root_b"),
         (F.col("root") == F.col("main")).alias("in_main"))
     met = few.join(all_of, ["value", "slice"]).where(
-        (F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _fits(F.col("n"), F.col("m"), percent))
-    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count("*").alias("met"), F.first(F.least("agree", "agree_b")).alias("agree")).where("met >= agree").select("a", "b")
+        (F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _fits(F.col("n"), F.col("m"), percent)
+        & (F.least(F.col("n") - F.col("place_a"), F.col("m") - F.col("place_b")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -181,13 +237,17 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return kept.where(F.col("estimate") >= least).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return written(full_sets(docs, ids).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     pairs = settle(pairs)
     if pairs.isEmpty():
         return pairs
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(full_sets(docs, ids).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingles")
+    if sets is None:
+        sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return settle(both.where(shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * percent).select("a", "b"))
@@ -201,17 +261,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     whether it is the document's own. A repeated doc_id is one document with the links of all its rows; a document without
     an id is linked with nothing, has no component and is kept; other columns are ignored.
 
-    Copies of a set are one representative. Leaders of the lists first join large groups of near copies; then documents
-    of different components that meet in enough lists are compared, so every link between components is looked for.
+    Copies of a set are one representative. Leaders of the lists first join groups of near copies, then typical members of
+    their components draw in more. Documents that still share enough lists with another component are searched
+    by their whole sets, so every link between components is looked for, without comparing all members of a group.
     """
     found = written(sketches(docs), "sketches")
     members, reps = representatives(found)
     posts = settle(lists(reps, percent))
-    first = confirmed(likely(leader_pairs(posts, percent), reps, percent), docs, percent)
-    roots = components(first)
-    second = confirmed(likely(other_pairs(posts, roots, percent), reps, percent), docs, percent)
-    # An edge between a copy and its representative is no edge of the graph: components are of representatives.
-    joined = components(first.unionByName(second)) if not second.isEmpty() else roots
+    met = settle(leader_pairs(posts, percent))
+    links = confirmed(likely(met, reps, percent), docs, percent)
+    joined = components(links)
+    sets = _sets_of(docs, open_documents(posts, joined))
+    more = confirmed(likely(typical_pairs(met, posts, joined, percent), reps, percent), docs, percent, sets)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        joined = components(links)
+    rest = confirmed(likely(other_pairs(settle(whole_lists(sets, percent)), joined, percent), reps, percent), docs, percent, sets)
+    if not rest.isEmpty():
+        joined = components(links.unionByName(rest))
     least = settle(joined.join(joined.groupBy("root").agg(F.min("node").alias("least")), "root").select(F.col("node").alias("rep"), "least"))
     # A repeated id can be in several groups; the least component counts.
     by_copy = members.join(least, "rep", "left").select("doc_id", F.coalesce("least", "rep").alias("component_id"))
