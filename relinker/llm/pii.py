@@ -75,7 +75,7 @@ def digest_text(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def shape(word: str) -> str:
     """Letters as x or X, digits as d, runs of one class shortened; other signs stay."""
     out: list[str] = []
@@ -86,13 +86,13 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def own_features(word: str) -> tuple[str, ...]:
     """Features of a word alone: shape, bare shape, number of digits, outer signs, checks that its digits pass."""
     bare = word.strip(".,;:!?\"'`*#%&$<>[]{}|")
     digits = re.sub(r"\D", "", bare)
     parts = bare.split(".")
-    octets = len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts)
+    octets = len(parts) == 4 and all(p.isdecimal() and len(p) < 4 and int(p) <= 255 for p in parts)
     card = CARD_DIGITS[0] <= len(digits) <= CARD_DIGITS[1] and len(digits) == len(bare) and luhn(digits)
     return (
         "s=" + shape(bare), "w=" + shape(word), f"n={min(len(digits), 20)}", f"all={bool(digits) and len(digits) == len(bare)}",
@@ -106,7 +106,7 @@ def _crc(text: str) -> int:
     return zlib.crc32(text.encode()) % HASHED
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def features(before: str, word: str, after: str) -> tuple[int, ...]:
     """Feature numbers of a word between its neighbours (empty at the ends of a chain): shapes, and the lower-case cue before."""
     own = own_features(word)

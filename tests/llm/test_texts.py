@@ -60,7 +60,7 @@ def test_base_spans_are_those_of_the_patterns():
 def test_learned_spans_add_to_the_base():
     field = pii.fit()
     found = {t: pii.learned_spans([t], field)[0] for t in (
-        "call (212) 555-0100 now", "call 030-555-1234 please", "write root@localhost soon", "no 4111111111111112 here", "in 2020-2021 with 12 items", "")}
+        "call (212) 555-0100 now", "call 030-555-1234 please", "write root@localhost soon", "no 4111111111111112 here", "in 2020-2021 with 12 items", "", "1.2.3.² ²³@ ٣٣٣")}
     assert found["call (212) 555-0100 now"] == [("phone", 5, 19)]
     assert found["call 030-555-1234 please"] == [("phone", 5, 17)]
     assert found["write root@localhost soon"] == [("email", 6, 20)]
