@@ -430,6 +430,7 @@ def write_blocks(docs: DataFrame, folder: str, path: str) -> str:
                 if len(pieces) > GROUP:
                     yield from flush(False)
         yield from flush(True)
+        words.ids = {}
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
