@@ -1,6 +1,7 @@
 """Mixing sources to target weights by packed blocks, multinomial shard counts and index permutations."""
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from relinker.llm.common import maybe_broadcast, running_start, settle, word_count
+from relinker.llm.common import maybe_broadcast, running_start, settle, word_count, written
 
 # Weights of the sources in order, repeating; share of all words; most uses of a word.
 WEIGHTS = (3, 1, 2)
@@ -20,8 +21,9 @@ MOST_USES = 2
 BLOCK_WORDS = 128
 LEAST_BLOCKS = 64
 SHARD_SLOTS = 8192
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2000
 SPLIT = 4096
+WITH_SPACE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -203,8 +205,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     A document of which nothing is taken goes. Columns stay; ``n_chars`` follows the text.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    numbered = settle(numbered)
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     keyed = numbered.withColumn("_doc", F.col("doc_id")).withColumn("doc_id", F.col("_row"))
     _, mixture = mix(keyed, seed)
     use = mixture.select(F.col("doc_id").alias("_row"), F.struct("slot", "word_from", "word_to").alias("piece"))
@@ -212,17 +213,25 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     turn = Window.partitionBy("_row", F.col("piece.word_from")).orderBy("piece.slot")
     uses = use.withColumn("turn", F.row_number().over(turn)).groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("turn", "piece.word_from", "piece.word_to"))).alias("pieces"))
-    words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    joined = numbered.join(uses, "_row").withColumn("words", words)
-    # Pieces that follow each other are put together as they were; a gap or a new turn starts a new line.
-    text = F.aggregate(
-        "pieces", F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, p: F.struct(
-            F.concat(
-                acc["text"], F.when((acc["at"] == p["word_from"]) | (acc["text"] == ""), "").otherwise("\n"),
-                F.array_join(F.slice("words", (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int")), "")).alias("text"),
-            p["word_to"].alias("at")), lambda acc: acc["text"])
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    has_length = "n_chars" in docs.columns
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.assign(text=[taken_text(t, p) for t, p in zip(batch["text"], batch["pieces"], strict=True)]).drop(columns="pieces")
+            if has_length:
+                batch["n_chars"] = batch["text"].str.len()
+            yield batch
+
+    return numbered.join(uses, "_row").select(*docs.columns, "pieces").mapInPandas(build, docs.schema)
+
+
+def taken_text(text: str, pieces) -> str:
+    """The words of the pieces (turn, word_from, word_to) with the white space after them; a gap or a new turn starts a line."""
+    words = WITH_SPACE.findall(text)
+    out, at = [], None
+    for p in pieces:
+        if out and at != p["word_from"]:
+            out.append("\n")
+        out.append("".join(words[p["word_from"]:p["word_to"]]))
+        at = p["word_to"]
+    return "".join(out)
