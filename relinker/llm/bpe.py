@@ -3,13 +3,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Tasks are the unit of parallel work; threads of the library in each of them only add overhead.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
 # A run without white space of at least this many characters is cut and put together again.
 UNSPLIT = 4096
 LEAF = 1024
@@ -48,7 +53,7 @@ class Words:
             new = list(pieces)
         coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
         ids = [c.ids for c in coded]
-        self.ids.update(zip(new, (np.asarray(x, "<u4").tobytes() for x in ids), strict=True))
+        self.ids.update(zip(new, (array("I", x).tobytes() for x in ids), strict=True))
         if self.by_piece:
             self.text.update(zip(new, (t.encode() for t in self.tokenizer.decode_batch(ids, skip_special_tokens=False)), strict=True))
 
