@@ -170,17 +170,17 @@ def _short(path: str, finish: Finish, names: list[str]):
         words = loaded(Words, path)
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
-            rows = []
-            # A cache of pieces is filled for about a million characters at a time.
+            kept = batch.drop(columns="text").reset_index(drop=True)
+            # Pieces are looked up, and results handed on, for about a million characters at a time.
             at = 0
             while at < len(texts):
                 stop, held = at, 0
                 while stop < len(texts) and (stop == at or held + len(texts[stop]) < 1_000_000):
                     held += len(texts[stop])
                     stop += 1
-                rows += [finish(*x) for x in words.encode(texts[at:stop])]
+                found = pd.DataFrame([finish(*x) for x in words.encode(texts[at:stop])], columns=names)
+                yield pd.concat([kept.iloc[at:stop].reset_index(drop=True), found], axis=1)
                 at = stop
-            yield pd.concat([batch.drop(columns="text"), pd.DataFrame(rows, columns=names, index=batch.index)], axis=1)
     return run
 
 
