@@ -165,7 +165,10 @@ def _split(placed: DataFrame, group: str) -> DataFrame:
 
 
 def typical_pairs(met: DataFrame, posts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents outside the component of a leader they met, each with its ``TYPICAL`` most typical members."""
+    """(a, b): documents with the ``TYPICAL`` most typical members of components that are not theirs.
+
+    These are the components of leaders they met, and the component that is largest in most of their lists.
+    """
     docs = posts.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("lone").alias("lone"))
     placed = settle(_rooted(docs, roots))
     order = Window.partitionBy("root").orderBy("lone", F.xxhash64("doc_id"), "doc_id")
@@ -173,7 +176,12 @@ def typical_pairs(met: DataFrame, posts: DataFrame, roots: DataFrame, percent: i
         "root", F.col("doc_id").alias("b"), F.col("n").alias("m"))
     asked = (
         met.join(placed.select(F.col("doc_id").alias("a"), "n", F.col("root").alias("root_a")), "a")
-        .join(placed.select(F.col("doc_id").alias("b"), "root"), "b").where("root_a != root").select("a", "n", "root").distinct())
+        .join(placed.select(F.col("doc_id").alias("b"), "root"), "b").where("root_a != root").select("a", "n", "root"))
+    listed = _rooted(posts.select("doc_id", "n", "value"), roots)
+    often = listed.join(settle(_split(settle(listed), "value")), "value").where("root != main").groupBy("doc_id", "main").agg(
+        F.count("*").alias("lists"), F.first("n").alias("n"))
+    most = often.groupBy("doc_id").agg(F.max(F.struct("lists", "main", "n")).alias("top"))
+    asked = asked.unionByName(most.select(F.col("doc_id").alias("a"), "top.n", F.col("top.main").alias("root"))).distinct()
     return asked.join(typical, "root").where(_fits(F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
