@@ -19,7 +19,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 UNSPLIT = 4096
 LEAF = 1024
 WINDOW = 16
-CACHE = 400_000
+CACHE = 250_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,13 +43,12 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.by_piece = self.tokenizer.decoder is None
-        self.ids: dict[bytes, bytes] = {b"": b""}
-        self.text: dict[bytes, bytes] = {b"": b""}
+        self.forget()
 
     def learn(self, pieces: set[bytes]) -> None:
         new = [p for p in pieces if p not in self.ids]
         if len(self.ids) + len(new) > CACHE:
-            self.ids, self.text = {b"": b""}, {b"": b""}
+            self.forget()
             new = list(pieces)
         coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
         ids = [c.ids for c in coded]
@@ -57,6 +56,10 @@ class Words:
         if self.by_piece:
             self.text.update(zip(new, (t.encode() for t in self.tokenizer.decode_batch(ids, skip_special_tokens=False)), strict=True))
 
+    def forget(self) -> None:
+        """Gives the memory of known pieces back; workers outlive their tasks."""
+        self.ids, self.text = {b"": b""}, {b"": b""}
+
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Id bytes and decoded UTF-8 of each text."""
         split = [t.encode().split() for t in texts]
@@ -181,6 +184,7 @@ def _short(path: str, finish: Finish, names: list[str]):
                 found = pd.DataFrame([finish(*x) for x in words.encode(texts[at:stop])], columns=names)
                 yield pd.concat([kept.iloc[at:stop].reset_index(drop=True), found], axis=1)
                 at = stop
+        words.forget()
     return run
 
 
