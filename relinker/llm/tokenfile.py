@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -470,7 +471,7 @@ def read_pieces(spark: SparkSession, folder: str, keep_ids: bool = False) -> Dat
     return spark.read.schema("file int, block bigint, data binary").parquet(folder).mapInPandas(run, schema)
 
 
-def _times(matrix: list[int], vector: int) -> int:
+def _times(matrix: Sequence[int], vector: int) -> int:
     out, i = 0, 0
     while vector:
         if vector & 1:
@@ -480,17 +481,23 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
+@lru_cache(64)
+def _zero_bytes(i: int) -> tuple[int, ...]:
+    """The operator that feeds 2**i zero bytes to a CRC-32, one column per bit."""
+    if i == 0:
+        power = [0xEDB88320] + [1 << k for k in range(31)]
+        for _ in range(3):
+            power = [_times(power, power[k]) for k in range(32)]
+        return tuple(power)
+    half = _zero_bytes(i - 1)
+    return tuple(_times(half, half[k]) for k in range(32))
+
+
 def crc_joined(first: int, second: int, bytes_in_second: int) -> int:
     """The CRC-32 of two byte strings behind each other, from their own: as many zero bytes are fed to the first."""
-    power = [0xEDB88320] + [1 << i for i in range(31)]
-    for _ in range(3):
-        power = [_times(power, power[i]) for i in range(32)]
-    n = bytes_in_second
-    while n:
-        if n & 1:
-            first = _times(power, first)
-        power = [_times(power, power[i]) for i in range(32)]
-        n >>= 1
+    for i in range(bytes_in_second.bit_length()):
+        if bytes_in_second >> i & 1:
+            first = _times(_zero_bytes(i), first)
     return first ^ second
 
 
