@@ -36,7 +36,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         # A shingle of n words depends on their order and on n.
         run = np.zeros(len(h), np.uint64)
         for j in range(SHINGLE):
-            run[:len(h) - j] = run[:len(h) - j] * np.uint64(0x9E3779B97F4A7C15) + _mix(h[j:] + np.uint64(j))
+            n = max(0, len(h) - j)
+            run[:n] = run[:n] * np.uint64(0x9E3779B97F4A7C15) + _mix(h[j:] + np.uint64(j))
         run = _mix(run)
     ends = np.cumsum(counts)
     out = []

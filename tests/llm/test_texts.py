@@ -201,6 +201,15 @@ def test_near_duplicates_on_awkward_rows(awkward):
     assert left.columns == awkward.columns and {r["doc_id"] for r in left.select("doc_id").collect()} == {0, 1, 2, 4, 5, 6, 7, None}
 
 
+def test_near_duplicates_with_few_words_in_a_partition(spark):
+    for n in range(6):
+        text = " ".join("abcdef"[:n])
+        assert [len(s) for s in minhash.shingle_sets([text])] == [max(n - 4, min(n, 1))]
+    docs = docs_of(spark, ["a", "b", "a b", "A  b", "a b c", "b c", "a b c", "a b c d"]).repartitionByRange(8, "doc_id")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 4, 7: 7}
+
+
 # Mixing
 
 def brute_targets(sizes):
