@@ -77,6 +77,63 @@ def ratcliff_column(q: pd.Series, t: pd.Series) -> pd.Series:
     return pd.Series([ratcliff_ratio(a, b) for a, b in zip(q, t)], dtype="float64")
 
 
+def ratcliff_grid(a: list, b: list) -> np.ndarray:
+    """Ratio of every string of a with every string of b; what is known of a string of b serves all of a."""
+    a_at, a_texts = pd.factorize(np.asarray(a, dtype=object))
+    b_at, b_texts = pd.factorize(np.asarray(b, dtype=object))
+    grid = np.empty((len(a_texts), len(b_texts)))
+    matcher = SequenceMatcher(None)
+    for j, t in enumerate(b_texts):
+        matcher.set_seq2(t)
+        for i, q in enumerate(a_texts):
+            matcher.set_seq1(q)
+            grid[i, j] = matcher.ratio()
+    return grid[np.ix_(a_at, b_at)]
+
+
+def contained_grid(a: list, b: list) -> np.ndarray:
+    """How many items of every list of a are in every list of b."""
+    where: dict[str, list[int]] = {}
+    for j, items in enumerate(b):
+        for x in set(items):
+            where.setdefault(x, []).append(j)
+    out = np.zeros((len(a), len(b)))
+    for i, items in enumerate(a):
+        for x in items:
+            if x in where:
+                out[i, where[x]] += 1
+    return out
+
+
+def _weight_rows(grams: list, weights: list, column: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(grams), len(column)))
+    for i, (names, values) in enumerate(zip(grams, weights)):
+        out[i, [column[g] for g in names]] = values
+    return out
+
+
+def feature_grid(a: dict[str, list], b: dict[str, list]) -> dict[str, np.ndarray]:
+    """The features of every pair of a URL of a and a URL of b, from the parts of each URL."""
+    def outer(name: str, step) -> np.ndarray:
+        return step(np.asarray(a[name])[:, None], np.asarray(b[name])[None, :])
+
+    def sizes(name: str, step) -> np.ndarray:
+        return step(np.array([[len(x)] for x in a[name]]), np.array([[len(x) for x in b[name]]]))
+
+    shared = contained_grid(a["names"], b["names"])
+    column = {g: i for i, g in enumerate(sorted({g for side in (a, b) for names in side["grams"] for g in names}))}
+    return {
+        "path_similarity": ratcliff_grid(a["path"], b["path"]),
+        "segment_match_ratio": contained_grid(a["segments"], b["segments"]) / np.maximum(sizes("segments", np.maximum), 1),
+        "len_ratio": outer("length", np.minimum) / outer("length", np.maximum),
+        "ext_match": (outer("ext", np.equal) & (np.asarray(a["ext"]) != "")[:, None]).astype(float),
+        "param_overlap": shared / np.maximum(sizes("names", np.add) - shared, 1),
+        "domain_match": outer("host", np.equal).astype(float),
+        "tfidf_similarity": np.round(
+            _weight_rows(a["grams"], a["weights"], column) @ _weight_rows(b["grams"], b["weights"], column).T, 9),
+    }
+
+
 def shared_characters(q: pd.Series, t: pd.Series) -> np.ndarray:
     """Size of the common character multiset of each pair, over count vectors of the distinct strings."""
     q_at, q_texts = pd.factorize(q)

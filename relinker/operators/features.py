@@ -1,9 +1,14 @@
 """Features of a pair of URLs. ``pairs(url_404, live_url)`` in, seven doubles added."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relinker.functions import strings, urls
+from relinker.operators.spread import PAIR_TASKS, spread
 from relinker.operators.vectors import gram_counts
 
 # Feature columns in model order, and the size of the n-gram vocabulary.
@@ -13,6 +18,9 @@ FEATURES = (
 )
 MAX_GRAMS = 100
 GRAMS = (2, 4)
+# URLs of a block on each side where all pairs are scored.
+BROKEN_BLOCK, LIVE_BLOCK = 64, 256
+PARTS = ("path", "segments", "length", "ext", "names", "host", "grams", "weights")
 
 
 def path_similarity(a, b) -> Column:
@@ -98,3 +106,44 @@ def pair_features(pairs: DataFrame, corpus: DataFrame | None = None, idf: DataFr
     usable = (F.col("url_404") != "") & (F.col("live_url") != "")
     others = [c for c in pairs.columns]
     return full.select(*others, *[F.when(usable, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in FEATURES])
+
+
+def _blocks(urls_of: DataFrame, row_id: str, size: int, side: str, idf: DataFrame) -> tuple[DataFrame, Column]:
+    """Blocks of about ``size`` URLs with the parts their features are made of, and how many blocks there are."""
+    u = F.col("url")
+    count = F.greatest(F.ceil(urls_of.select(F.count("*").alias("n")).scalar() / size), F.lit(1)).cast("int")
+    parts = urls_of.join(gram_vectors(urls_of, idf), "url", "left").select(
+        F.pmod(F.xxhash64("url"), count).cast("int").alias(f"slice_{side}"), F.struct(
+            F.col(row_id).alias("id"), urls.url_path(u).alias("path"), urls.path_segments(u).alias("segments"),
+            F.length(u).alias("length"), urls.url_extension(u).alias("ext"), urls.query_param_names(u).alias("names"),
+            urls.url_host(u).alias("host"), F.coalesce(F.map_keys("weights"), F.array().cast("array<string>")).alias("grams"),
+            F.coalesce(F.map_values("weights"), F.array().cast("array<double>")).alias("weights")).alias("part"))
+    blocks = parts.groupBy(f"slice_{side}").agg(F.collect_list("part").alias("b"))
+    return blocks.select(f"slice_{side}", *[F.col(f"b.{c}").alias(f"{side}_{c}") for c in ("id", *PARTS)]), count
+
+
+def all_pair_features(broken: DataFrame, live: DataFrame, idf: DataFrame) -> DataFrame:
+    """``broken(url)``, ``live(url, live_idx)`` -> ``(url_404, live_idx)`` and the features of every pair.
+
+    Both sides hold distinct URLs, none of them empty. Each block of broken URLs meets each block of live URLs in an
+    equi-join on the numbers of both; the pairs of two blocks are computed together.
+    """
+    left, _ = _blocks(broken, "url", BROKEN_BLOCK, "broken", idf)
+    right, count = _blocks(live, "live_idx", LIVE_BLOCK, "live", idf)
+    copies = left.withColumn("slice_live", F.explode(F.sequence(F.lit(0), count - 1)))
+    both = spread(copies.join(right, "slice_live"), "slice_broken", "slice_live", times=PAIR_TASKS)
+
+    grid = strings.feature_grid
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                a, b = ({c: list(row[f"{side}_{c}"]) for c in ("id", *PARTS)} for side in ("broken", "live"))
+                found = grid(a, b)
+                yield pd.DataFrame({
+                    "url_404": np.repeat(np.asarray(a["id"], dtype=object), len(b["id"])),
+                    "live_idx": np.tile(np.asarray(b["id"], dtype=np.int64), len(a["id"])),
+                    **{c: found[c].ravel() for c in FEATURES}})
+
+    columns = ", ".join(f"{c} double" for c in FEATURES)
+    return both.drop("slice_broken", "slice_live").mapInPandas(run, f"url_404 string, live_idx bigint, {columns}")

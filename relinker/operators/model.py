@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relinker.config import HUMAN_WEIGHT, MAPPING_ORDER, Settings
 from relinker.operators import consensus
-from relinker.operators.features import FEATURES, gram_idf, pair_features, repaired
-from relinker.operators.matchers import votes as as_votes
+from relinker.operators.features import FEATURES, all_pair_features, gram_idf, pair_features, repaired
+from relinker.operators.matchers import first_live, votes as as_votes
 from relinker.sources.stage import settle
 
 # Forest parameters, and copies that a confident positive row counts for.
@@ -131,9 +131,34 @@ def _best_candidate(votes: DataFrame, trained: Trained, cfg: Settings) -> DataFr
                        F.col("b.match_idx").alias("live_idx"))
 
 
+def _best_live(broken: DataFrame, live: DataFrame, trained: Trained) -> DataFrame:
+    """Most confident of all live URLs for each distinct broken URL; ties go to the smallest position."""
+    queries = broken.where("url != ''").select("url").distinct()
+    targets = live.where("url != ''").groupBy("url").agg(F.min("live_idx").alias("live_idx"))
+    if trained.pipeline is None:
+        first = queries.withColumn("f", first_live(targets)).where("f is not null")
+        return first.select("url", "f.live_url", F.lit(float(trained.only_label)).alias("score"), "f.live_idx")
+    queries, targets = settle(queries), settle(targets)
+    scored = trained.pipeline.transform(all_pair_features(queries, targets, trained.idf).select(
+        "url_404", "live_idx", *[repaired(c) for c in FEATURES]))
+    best = scored.groupBy("url_404").agg(F.max(F.struct(
+        vector_to_array("probability")[1].alias("score"), (-F.col("live_idx")).alias("order"))).alias("b"))
+    found = best.select(F.col("url_404").alias("url"), "b.score", (-F.col("b.order")).alias("live_idx"))
+    return found.join(targets.select("live_idx", F.col("url").alias("live_url")), "live_idx").select("url", "live_url", "score", "live_idx")
+
+
+def ml_first_pass(broken: DataFrame, live: DataFrame, trained: Trained, cfg: Settings = Settings()) -> DataFrame:
+    """First pass: the best of all live URLs where its confidence reaches the threshold, else NULL and 0; a row per broken URL."""
+    best = broken.select("url").join(_best_live(broken, live, trained), "url", "left")
+    return settle(_above_threshold(best, cfg))
+
+
 def ml_match(votes: DataFrame, trained: Trained, cfg: Settings = Settings()) -> DataFrame:
-    """First pass: the best candidate where its confidence reaches the threshold, else NULL and 0."""
-    best = _best_candidate(votes, trained, cfg)
+    """The best of the other matchers' nominations where its confidence reaches the threshold, else NULL and 0."""
+    return _above_threshold(_best_candidate(votes, trained, cfg), cfg)
+
+
+def _above_threshold(best: DataFrame, cfg: Settings) -> DataFrame:
     hit = F.col("score") >= cfg.ml_threshold
     return as_votes(
         best.select("url", F.when(hit, F.col("live_url")).alias("u"),

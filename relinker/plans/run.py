@@ -47,7 +47,7 @@ def find_votes(broken: DataFrame, live: DataFrame, cfg: Settings = Settings(),
         parts.append(vectors.token_vector_match(broken, live, token_vectors, cfg))
     votes = settle(reduce(DataFrame.unionByName, parts))
     if "ml" in cfg.algorithms and trained is not None:
-        votes = votes.unionByName(model.ml_match(votes, trained, cfg))
+        votes = votes.unionByName(model.ml_first_pass(broken, live, trained, cfg))
     return votes
 
 
@@ -71,12 +71,14 @@ def run(broken: DataFrame, live: DataFrame, history: DataFrame, cfg: Settings =
         trained: model.Trained | None = None, run_at: Column | None = None, votes: DataFrame | None = None) -> Outcome:
     """Votes, agreement, learned vote, agreement again, then learning from this run's agreement.
 
-    ``votes`` are those of an earlier round over the same URLs; they are used as they are.
+    ``votes`` are those of an earlier round over the same URLs; only the model votes anew.
     """
+    learned = trained is not None and "ml" in cfg.algorithms
     if votes is None:
         votes = find_votes(broken, live, cfg, token_vectors, page_topics, trained)
+    elif learned:
+        votes = votes.where("lower(algo) != 'ml'").unionByName(model.ml_first_pass(broken, live, trained, cfg))
     corpus = corpus_of(broken, live)
-    learned = trained is not None and "ml" in cfg.algorithms
     final_votes = settle(model.ml_consensus(votes, trained, cfg)) if learned else votes
     table = consensus.mapping(final_votes, cfg)
     refit = model.fit(model.training_rows(final_votes, history, cfg), corpus, cfg)

@@ -175,6 +175,49 @@ def test_model_learns_saves_and_loads(spark, tmp_path):
     assert model.model_stats(tables.empty_history(spark), None).first()["model_features"] == 0
 
 
+def test_model_votes_for_the_best_of_all_live_urls(spark):
+    shown = [f"https://h{i % 7}.com/en/item-{i}.html" for i in range(60)]
+    rows = [(u, u.replace("item", "items"), 1, 1.0, 1, "auto") for u in shown]
+    rows += [(u, shown[(i * 13 + 5) % 60] + "?page=2", 0, 1.0, 1, "auto") for i, u in enumerate(shown)]
+    train = spark.createDataFrame(rows, "url_404 string, live_url string, label int, weight double, copies int, source string")
+    corpus = train.select(F.col("url_404").alias("url")).union(train.select("live_url")).distinct()
+    trained = model.fit(train, corpus)
+    broken = spark.createDataFrame([(u, i) for i, u in enumerate([*shown[:20], "", "ftp://q/é", shown[0]])], "url string, idx bigint")
+    texts = [r[1] for r in rows] + ["", None, "https://h1.com/en/a/en;p?x=1&y=2&x=3#f", "https://h1.com/a/en/en.html?y=&x=9", rows[0][1]]
+    live = spark.createDataFrame([(u, i) for i, u in enumerate(texts)], "url string, live_idx bigint")
+    distinct = [(u, i) for i, u in enumerate(texts) if u and texts.index(u) == i]
+    pairs = spark.createDataFrame(
+        [(q, u, i) for q in dict.fromkeys(r["url"] for r in broken.collect()) if q for u, i in distinct],
+        "url_404 string, live_url string, live_idx bigint")
+    want = {(r["url_404"], r["live_idx"]): r for r in features.pair_features(pairs, idf=trained.idf).collect()}
+    sides = broken.where("url != ''").select("url").distinct(), spark.createDataFrame(distinct, "url string, live_idx bigint")
+    got = {(r["url_404"], r["live_idx"]): r for r in features.all_pair_features(*sides, trained.idf).collect()}
+    assert set(got) == set(want)
+    assert all(got[k][c] == pytest.approx(want[k][c], abs=1e-8) for k in got for c in features.FEATURES)
+    best = {}
+    for r in model.confidence(pairs, trained).collect():
+        best[r["url_404"]] = max(best.get(r["url_404"], (-1, 0)), (r["confidence"], -r["live_idx"]))
+    # Nobody nominated anything; the second row of a URL has a vote of its own.
+    votes = model.ml_first_pass(broken, live, trained).collect()
+    assert sorted(v["url_404"] for v in votes) == sorted(r["url"] for r in broken.collect())
+    for v in votes:
+        score, place = best.get(v["url_404"], (0.0, 0))
+        hit = (texts[-place], score, -place) if score >= 0.7 else (None, 0.0, None)
+        assert (v["match_url"], pytest.approx(v["score"]), v["match_idx"]) == hit and v["algo"] == "ml"
+    assert sum(v["match_url"] is not None for v in votes) > 10 and {v["score"] for v in votes if v["url_404"] == ""} == {0.0}
+    only = {(v["url_404"] != "", v["match_idx"], v["score"]) for v in model.ml_first_pass(broken, live, model.Trained(None, 1)).collect()}
+    assert only == {(True, 0, 1.0), (False, None, 0.0)}
+    assert {v["match_url"] for v in model.ml_first_pass(broken, live.limit(0), trained).collect()} == {None}
+
+
+def test_second_round_scores_all_live_urls(spark, sample):
+    broken, live = sample
+    votes = votes_of(spark, [("https://www.example.com/promo/expired", "spacy", None, 0.0, None)])
+    cfg = Settings(algorithms=("spacy", "ml"))
+    out = run.run(broken, live, tables.empty_history(spark), cfg, trained=model.Trained(None, 1), votes=votes).votes.collect()
+    assert {(v["url_404"], v["match_idx"]) for v in out if v["algo"] == "ml"} == {(r["url"], 0) for r in broken.collect()}
+
+
 def test_sinks_and_history_round_trip(spark, tmp_path):
     votes = votes_of(spark, [("https://www.a.example.com/x", "jaccard", "u", 0.9, 0), ("https://b.org/y", "jaccard", "v", 0.2, 1)])
     table = consensus.mapping(votes)
