@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ HELD_OUT = 2
 #: Bounds of training: documents, words of each of them, width of the hashed feature space, words of a switched piece.
 TRAIN_DOCS = 2000
 TRAIN_WORDS = 80
+#: Documents of each language that are learned at least, where there are so many, on top of ``TRAIN_DOCS``.
+TRAIN_LANG = 100
 HASHED = 1 << 16
 PIECE = 20
 #: A document of whose words less than this share is in its language is rejected by a filter.
@@ -98,13 +101,19 @@ def split(text: str) -> tuple[list[str], list[int]]:
 def training_rows(docs: DataFrame, docs_bound: int = TRAIN_DOCS, words_bound: int = TRAIN_WORDS) -> list:
     """(lang, words) of at most ``docs_bound`` labelled documents outside the held-out fold, chosen by a hash of their ids.
 
+    A language with fewer than ``TRAIN_LANG`` of them gets more, so that rare languages are learned from tables of any size.
     Of each, at most ``words_bound`` neighbouring words from a place given by that hash are used.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    usable = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
-    total = usable.count()
+    # Rows without an id, which would all have one hash, are drawn by their texts.
+    own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    draw = F.when(F.col("doc_id").isNull(), own).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    usable = usable.select("lang", "text", draw.alias("draw"), own.alias("own"))
+    sizes = {r["lang"]: (r["n"], r["draws"]) for r in usable.groupBy("lang").agg(
+        F.count("*").alias("n"), F.approx_count_distinct("own").alias("draws")).collect()}
+    total = sum(n for n, _ in sizes.values())
     share = min(1.0, 1.5 * docs_bound / max(total, 1))
-    drawn = usable.where(F.col("draw") < F.lit(int(share * (1 << 30)) + 1))
+    drawn = usable.where(F.col("draw") < F.lit(int(share * (1 << 30)) + 1)).select("lang", "text", "draw")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,6 +126,18 @@ def training_rows(docs: DataFrame, docs_bound: int = TRAIN_DOCS, words_bound: in
             yield pd.DataFrame(rows, columns=["lang", "words", "draw"])
 
     found = drawn.mapInPandas(windows, "lang string, words string, draw bigint").orderBy("draw", "lang", "words").limit(docs_bound).collect()
+    seen = Counter(r["lang"] for r in found)
+    few = [(lang, min(1.0, 2.0 * TRAIN_LANG / max(draws, 1))) for lang, (n, draws) in sizes.items() if seen[lang] < min(n, TRAIN_LANG)]
+    if few:
+        parts = docs.sparkSession.createDataFrame(few, "lang string, part double")
+        more = usable.join(parts, "lang").where(F.col("own") <= F.col("part") * (1 << 30)).dropDuplicates(["lang", "own"])
+        more = more.select("lang", "text", "draw").mapInPandas(windows, "lang string, words string, draw bigint")
+        known = {(r["lang"], r["words"]) for r in found}
+        for r in sorted(more.collect(), key=lambda r: (r["draw"], r["lang"], r["words"])):
+            if seen[r["lang"]] < TRAIN_LANG and (r["lang"], r["words"]) not in known:
+                seen[r["lang"]] += 1
+                known.add((r["lang"], r["words"]))
+                found.append(r)
     return [(r["lang"], r["words"].split(" ")) for r in found]
 
 

@@ -122,6 +122,20 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_rare_languages_are_learned(spark):
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("the house water "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(7000 + i, f"maison {'abcdefgh'[i]}", "fr") for i in range(8)], docs.schema)
+    # A draw of 60 documents holds about none of them.
+    bound = 60
+    kept = [r["text"] for r in rare.where(~langid.held_out("doc_id")).collect()]
+    got = langid.training_rows(docs.unionByName(rare), docs_bound=bound)
+    assert sorted(" ".join(w) for lang, w in got if lang == "fr") == sorted(kept)
+    assert len([1 for lang, _ in got if lang == "en"]) >= bound - len(kept)
+    no_ids = docs.withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("text", F.concat("text", F.lit(" ab"), F.translate(F.col("text"), "0123456789", "abcdefghij")))
+    assert len(set(map(str, langid.training_rows(no_ids, docs_bound=200)))) >= 200
+
+
 def test_words_of_switched_text(spark):
     field = langid.fit(langid.training_rows(language_docs(spark)))
     words = "the house water nicht straße schule".split()
