@@ -95,7 +95,7 @@ def descend(trees: Trees, requests: DataFrame, above: DataFrame) -> DataFrame:
     """
     wanted = {1: written(requests.select("tree", F.floor(F.col("rank") / FAN).alias("pos")).distinct(), "wanted")}
     for h in range(2, len(trees.levels) + 1):
-        wanted[h] = wanted[h - 1].select("tree", F.floor(F.col("pos") / FAN).alias("pos")).distinct()
+        wanted[h] = written(wanted[h - 1].select("tree", F.floor(F.col("pos") / FAN).alias("pos")).distinct(), "wanted")
 
     def entering(height: int) -> DataFrame:
         tops = trees.tops.where(F.col("height") == height).drop("height")
@@ -110,9 +110,10 @@ def descend(trees: Trees, requests: DataFrame, above: DataFrame) -> DataFrame:
         if h == 1:
             lists = lists.unionByName(opened.select("tree", "pos", "path", "children"))
         else:
-            front = opened.select("tree", "pos", "path", "children", F.posexplode("children").alias("digit", "child")).select(
+            # Written at every height, so that plans stay small.
+            front = written(opened.select("tree", "pos", "path", "children", F.posexplode("children").alias("digit", "child")).select(
                 "tree", (F.col("pos") * FAN + F.col("digit")).alias("pos"), F.col("child").alias("digest"),
-                F.concat("path", _segment(F.col("digit"), F.col("children"))).alias("path"))
+                F.concat("path", _segment(F.col("digit"), F.col("children"))).alias("path")), "front")
     digit = F.col("rank") % FAN
     whole = F.when(F.col("children").isNull(), F.col("path")).otherwise(F.concat("path", _segment(digit, F.col("children"))))
     return (
@@ -154,8 +155,8 @@ def manifest(docs: DataFrame, changed: Column) -> Manifest:
     pieces = rows.select(F.col("piece").alias("_piece"), F.col("lang").alias("_lang")).distinct().join(
         languages.withColumnRenamed("lang", "_its"), F.col("_lang").eqNullSafe(F.col("_its"))).drop("_its")
     pieces = maybe_broadcast(pieces, pieces.count())
-    placed = rows.join(pieces, (F.col("piece") == F.col("_piece")) & F.col("lang").eqNullSafe(F.col("_lang"))).select(
-        "tree", (F.col("_place") - F.col("_first")).alias("rank"), "n", "doc_id", "leaf", "changed")
+    placed = written(rows.join(pieces, (F.col("piece") == F.col("_piece")) & F.col("lang").eqNullSafe(F.col("_lang"))).select(
+        "tree", (F.col("_place") - F.col("_first")).alias("rank"), "n", "doc_id", "leaf", "changed"), "placed")
     trees = build(placed.select("tree", "n", F.col("rank").alias("pos"), F.col("leaf").alias("digest")))
     n = trees.tops.count()
     over = build(trees.tops.select(F.lit(0).cast("bigint").alias("tree"), F.lit(n).alias("n"), F.col("tree").alias("pos"), "digest"))
