@@ -75,7 +75,8 @@ def build(leaves: DataFrame) -> Trees:
         level = written(above.select(
             "tree", F.ceil(F.col("n") / FAN).cast("bigint").alias("n"), F.col("up").alias("pos"), digest(F.col("children")).alias("digest"),
             "children"), "nodes")
-        levels.append(level.select("digest", "children"))
+        # Repeated rows give equal subtrees, of which the store keeps one.
+        levels.append(written(level.select("digest", "children").dropDuplicates(["digest"]), "store"))
         largest = -(-largest // FAN)
     tops.append(top(len(levels)))
     out = tops[0]
@@ -105,8 +106,8 @@ def descend(trees: Trees, requests: DataFrame, above: DataFrame) -> DataFrame:
     front = None
     for h in range(len(trees.levels), 0, -1):
         front = entering(h) if front is None else front.unionByName(entering(h))
-        # The same subtree may stand at several places (repeated rows); the store has it once.
-        opened = front.join(wanted[h], ["tree", "pos"], "left_semi").join(trees.levels[h - 1].dropDuplicates(["digest"]), "digest")
+        # A subtree of repeated rows stands at many places: both sides are plain tables, so that the join can be split there.
+        opened = front.join(wanted[h], ["tree", "pos"], "left_semi").join(trees.levels[h - 1], "digest")
         if h == 1:
             lists = lists.unionByName(opened.select("tree", "pos", "path", "children"))
         else:

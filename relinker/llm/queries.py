@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relinker.llm import bpe, langid, merkle, minhash, mixing, pii, quality, tokenfile, topk, vectordup, warc
+from relinker.llm import align, bpe, langid, merkle, minhash, mixing, pii, quality, tokenfile, topk, vectordup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,10 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_align(spark, sf_dir):
+    return align.links(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"), bpe.tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_merkle(spark, sf_dir):
     return merkle.verified(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op8_langid": op8_langid,
         "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,
+        "op11_align": op11_align,
         "op12_merkle": op12_merkle,
     }
 
