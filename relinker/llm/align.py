@@ -7,6 +7,7 @@ shuffled.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame, functions as F
 from relinker.llm.common import written
 
 # Texts are aligned by pieces, each once per task; known pieces are given back beyond this many bytes.
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 128_000_000
 # Documents of about this many characters form a block, which looks its pairs up together.
 BLOCK_CHARS = 8_000_000
+# Texts of about this many characters are aligned together.
+PORTION_CHARS = 1_000_000
 # Counted pairs that a task holds before it hands them on.
 HELD_PAIRS = 1_000_000
 # Fixed value: the blank of the piece tokenizer.
@@ -39,40 +42,82 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# Fixed value: how the byte-level tokenizer cuts texts before it merges.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Pair:
-    """Both tokenizers, the bytes of their ids, and ``same``: A id -> B id with the same bytes, or -1."""
+    """Both tokenizers, the bytes of their ids, and ``same``: A id -> B id with the same bytes, or -1.
+
+    A is read from its file; its ids are its merge ranks, so that tiktoken gives the same ids several times as fast.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.n_a, self.n_b = self.a.get_vocab_size(with_added_tokens=True), self.b.get_piece_size()
         letters = byte_alphabet()
+        vocabulary = {bytes(letters[c] for c in token): i for token, i in json.load(open(a_path))["model"]["vocab"].items()}
+        self.a = tiktoken.Encoding("A", pat_str=WORDS, mergeable_ranks=vocabulary, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.n_a, self.n_b = max(vocabulary.values()) + 1, self.b.get_piece_size()
         self.a_bytes = [b""] * self.n_a
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in token)
+        for x, i in vocabulary.items():
+            self.a_bytes[i] = x
         self.b_bytes = [
             bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(BLANK, " ").encode()
             for i in range(self.n_b)]
-        self.same = np.full(self.n_a, -1, np.int64)
-        by_bytes = {x: i for i, x in reversed(list(enumerate(self.b_bytes))) if not self.b.is_control(i) and not self.b.is_unknown(i) and not self.b.is_byte(i)}
-        for i, x in enumerate(self.a_bytes):
-            self.same[i] = by_bytes.get(x, -1) if x else -1
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        by_bytes = {
+            x: i for i, x in reversed(list(enumerate(self.b_bytes)))
+            if not self.b.is_control(i) and not self.b.is_unknown(i) and not self.b.is_byte(i)}
+        self.same = np.array([by_bytes.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
         # No piece goes on over a blank, so B can be cut there as well.
         self.cut = not any(BLANK in self.b.id_to_piece(i).lstrip(BLANK) for i in range(self.n_b))
+        # Ids as text, with what stands between them: next token of the side, other side, next group.
+        self.a_text = [np.array([b"%d%s" % (i, end) for i in range(self.n_a)], object) for end in (b",", b"|")]
+        self.b_text = [np.array([b"%d%s" % (i, end) for i in range(self.n_b)], object) for end in (b",", b";")]
+
+
+class Column:
+    """Numbers that grow at the end."""
+
+    def __init__(self):
+        self.data, self.n = np.zeros(1024, np.int64), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            self.data = np.concatenate([self.data[:self.n], np.zeros(self.n + 2 * len(more), np.int64)])
+        self.data[self.n:self.n + len(more)] = more
+        self.n += len(more)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (size numbers) of each range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of each run of values."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their summed weights."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(weights[order], first) if len(first) else first
 
 
 class Pieces:
-    """Aligned pieces of texts, each with the blank before it.
+    """Aligned pieces of texts, each with the blank before it, in columns.
 
-    Per piece: numbers of A tokens, B tokens, groups and links (A tokens -1 where the bytes differ), the groups as text,
-    the A ids of links that ``same`` foretells, and codes (A id * size of B + B id) of all other links; ids and codes repeat.
+    Per piece: numbers of A tokens (-1 where the bytes differ), B tokens, groups and links; the groups as text; its distinct links
+    with their numbers: as -1 - A id where ``same`` foretells the B id, else as A id * size of B + B id.
     """
 
     def __init__(self, pair: Pair):
@@ -83,82 +128,117 @@ class Pieces:
         self.held = 0
         self.plain: dict[str, int] = {}
         self.odd: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int]] = []
         self.groups: list[bytes] = []
-        self.foretold: list[list[int]] = []
-        self.codes: list[list[int]] = []
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.begin, self.size, self.links, self.times = (Column() for _ in range(8))
 
     def learn(self, pieces: list[str], into: dict[str, int]) -> None:
         pair = self.pair
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at:at + 4096]
-            coded = pair.a.encode_batch_fast([" " + p for p in part], add_special_tokens=False)
-            for p, a, b in zip(part, (c.ids for c in coded), pair.b.encode(part, num_threads=1), strict=True):
-                into[p] = len(self.counts)
-                self.add((" " + p).encode(), a, b)
-
-    def add(self, text: bytes, a: list[int], b: list[int]) -> None:
+        for at in range(0, len(pieces), 16_384):
+            part = pieces[at:at + 16_384]
+            texts = [(" " + p).encode() for p in part]
+            coded = pair.b.encode(part, num_threads=1)
+            if b"".join(map(pair.b_bytes.__getitem__, chain.from_iterable(coded))) != b"".join(texts):
+                fine = [b"".join(map(pair.b_bytes.__getitem__, c)) == t for c, t in zip(coded, texts, strict=True)]
+                bad = [p for p, ok in zip(part, fine, strict=True) if not ok]
+                part, texts, coded = ([x for x, ok in zip(xs, fine, strict=True) if ok] for xs in (part, texts, coded))
+                into.update(zip(bad, range(len(self.groups), len(self.groups) + len(bad))))
+                for c in (self.n_a, self.n_b, self.n_groups, self.n_links, self.begin, self.size):
+                    c.extend(np.full(len(bad), -1 if c is self.n_a else 0))
+                self.groups += [b""] * len(bad)
+                self.held += 200 * len(bad)
+            into.update(zip(part, range(len(self.groups), len(self.groups) + len(part))))
+            if part:
+                # Plain pieces stay apart in a joined text, as each begins a token of A.
+                a = pair.a.encode_to_numpy(" " + " ".join(part)) if into is self.plain else np.concatenate([pair.a.encode_to_numpy(" " + p) for p in part])
+                self.add(texts, a.astype(np.int64), np.fromiter(chain.from_iterable(coded), np.int64))
+
+    def add(self, texts: list[bytes], a: np.ndarray, b: np.ndarray) -> None:
+        """Aligns pieces: A and B tokens of all of them, one after the other."""
         pair = self.pair
-        a_bytes, b_bytes = [pair.a_bytes[i] for i in a], [pair.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != text or b"".join(b_bytes) != text:
-            self.counts.append((-1, 0, 0, 0))
-            self.groups.append(b"")
-            self.foretold.append([])
-            self.codes.append([])
-            self.held += 300
-            return
-        groups, foretold, codes = [], [], []
-        i = j = first_a = first_b = at_a = at_b = links = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(a_bytes[i])
-                i += 1
-            else:
-                at_b += len(b_bytes[j])
-                j += 1
-            if at_a == at_b and i > first_a and j > first_b:
-                left, right = a[first_a:i], b[first_b:j]
-                links += len(left) * len(right)
-                for x in left:
-                    like = pair.same[x]
-                    for y in right:
-                        if y == like:
-                            foretold.append(x)
-                        else:
-                            codes.append(x * pair.n_b + y)
-                groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                first_a, first_b = i, j
-        self.counts.append((len(a), len(b), len(groups), links))
-        self.groups.append(";".join(groups).encode())
-        self.foretold.append(foretold)
-        self.codes.append(codes)
-        self.held += 400 + 3 * len(text) + len(self.groups[-1]) + 40 * (len(foretold) + len(codes))
-
-    def numbers(self, text: str) -> list[int]:
-        """Numbers of the pieces of a text; with those of the blank before it."""
+        piece_ends = np.cumsum(np.array(list(map(len, texts)), np.int64))
+        a_ends, b_ends = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+        ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        of_piece = np.searchsorted(piece_ends, ends)
+        a_group, b_group = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
+        n_a, n_b = np.bincount(a_group, minlength=len(ends)), np.bincount(b_group, minlength=len(ends))
+
+        # Links of groups of one token each, and of the distinct tokens of all others.
+        single = (n_a == 1) & (n_b == 1)
+        left, right = a[single[a_group]], b[single[b_group]]
+        mixed_a, mixed_b = ~single[a_group], ~single[b_group]
+        x, x_times = _counted(a_group[mixed_a] * pair.n_a + a[mixed_a], np.ones(mixed_a.sum(), np.int64))
+        y, y_times = _counted(b_group[mixed_b] * pair.n_b + b[mixed_b], np.ones(mixed_b.sum(), np.int64))
+        y_sizes = np.bincount(y // pair.n_b, minlength=len(ends))
+        y_starts = np.cumsum(y_sizes) - y_sizes
+        many = y_sizes[x // pair.n_a]
+        i, j = np.repeat(np.arange(len(x)), many), _ranges(y_starts[x // pair.n_a], many)
+        group = np.concatenate([np.flatnonzero(single), x[i] // pair.n_a])
+        left, right = np.concatenate([left, x[i] % pair.n_a]), np.concatenate([right, y[j] % pair.n_b])
+        times = np.concatenate([np.ones(single.sum(), np.int64), x_times[i] * y_times[j]])
+        codes = np.where(pair.same[left] == right, -1 - left, left * pair.n_b + right)
+        order = np.argsort(of_piece[group], kind="stable")
+        sizes = np.bincount(of_piece[group], minlength=len(texts))
+
+        # Tokens as text, in the order of groups, A before B.
+        last_a = np.concatenate([a_group[1:] != a_group[:-1], [True]])
+        last_b = np.concatenate([b_group[1:] != b_group[:-1], [True]])
+        words = np.empty(len(a) + len(b), object)
+        a_place = np.arange(len(a)) + np.concatenate([[0], np.cumsum(n_b)])[a_group]
+        b_place = np.arange(len(b)) + np.cumsum(n_a)[b_group]
+        words[a_place] = np.where(last_a, pair.a_text[1][a], pair.a_text[0][a])
+        words[b_place] = np.where(last_b, pair.b_text[1][b], pair.b_text[0][b])
+        a_of, b_of = of_piece[a_group], of_piece[b_group]
+        of_a, of_b = np.bincount(a_of, minlength=len(texts)), np.bincount(b_of, minlength=len(texts))
+        words, stops = words.tolist(), np.cumsum(of_a + of_b).tolist()
+        self.groups += [b"".join(words[i:j])[:-1] for i, j in zip([0, *stops], stops, strict=False)]
+        self.n_a.extend(of_a)
+        self.n_b.extend(of_b)
+        self.n_groups.extend(np.bincount(of_piece, minlength=len(texts)))
+        self.n_links.extend(_sums(n_a * n_b, np.bincount(of_piece, minlength=len(texts))))
+        self.begin.extend(self.links.n + np.cumsum(sizes) - sizes)
+        self.size.extend(sizes)
+        self.links.extend(codes[order])
+        self.times.extend(times[order])
+        self.held += 300 * len(texts) + 2 * sum(map(len, texts)) + 16 * len(codes) + 5 * len(words)
+
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """Numbers of the pieces of each text; with those of the blank before it."""
         if self.held > CACHE_BYTES:
             self.forget()
         if self.pair.cut:
-            pieces = text.split(" ")
-            new = [p for p in set(pieces) if p not in self.plain]
-            if all(p and not p[0].isspace() for p in new):
-                self.learn(new, self.plain)
-                return [self.plain[p] for p in pieces]
-            pieces = [p[1:] for p in CUT.split(" " + text)]
+            split = [t.split(" ") if t else [] for t in texts]
+            new = [p for p in set().union(*split) if p not in self.plain]
+            # A blank next to another one, or before white space, is no place to cut.
+            odd = {p for p in new if not p or p[0].isspace()}
+            self.learn([p for p in new if p not in odd], self.plain)
+            whole = [not odd.isdisjoint(pieces) for pieces in split]
+            split = [[p[1:] for p in CUT.split(" " + t)] if w else pieces for t, w, pieces in zip(texts, whole, split, strict=True)]
         else:
-            pieces = [text]
-        self.learn([p for p in set(pieces) if p not in self.odd], self.odd)
-        return [self.odd[p] for p in pieces]
-
-    def aligned(self, text: str | None) -> tuple[list[int], bytes, np.ndarray, np.ndarray] | None:
-        """Numbers of A tokens, B tokens, groups, links; groups as text; foretold A ids; other codes; None where bytes differ."""
-        found = self.numbers(text) if text else []
-        if not found or any(self.counts[i][0] < 0 for i in found):
-            return None
-        sums = [sum(x) for x in zip(*map(self.counts.__getitem__, found), strict=True)]
-        a = np.fromiter(chain.from_iterable(map(self.foretold.__getitem__, found)), np.int64)
-        codes = np.fromiter(chain.from_iterable(map(self.codes.__getitem__, found)), np.int64)
-        return sums, b";".join(map(self.groups.__getitem__, found)), a, codes
+            whole, split = [bool(t) for t in texts], [[t] if t else [] for t in texts]
+        self.learn([p for p in set().union(*(x for w, x in zip(whole, split, strict=True) if w)) if p not in self.odd], self.odd)
+        return [list(map((self.odd if w else self.plain).__getitem__, pieces)) for w, pieces in zip(whole, split, strict=True)]
+
+    def aligned(self, texts: list[str]) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text: numbers of A tokens, B tokens, groups, links; digest of the groups as text; distinct foretold A ids and their
+        links; distinct other codes and their links. Zeros and nothing where bytes differ."""
+        numbers = self.numbers(texts)
+        numbers = [[] if any(self.n_a.data[i] < 0 for i in x) else x for x in numbers] if self.n_a.data[:self.n_a.n].min(initial=0) < 0 else numbers
+        sizes = np.array(list(map(len, numbers)), np.int64)
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64)
+        sums = np.stack([_sums(c.data[flat], sizes) for c in (self.n_a, self.n_b, self.n_groups, self.n_links)], axis=1).tolist()
+        many = self.size.data[flat]
+        at = _ranges(self.begin.data[flat], many)
+        owner = np.repeat(np.repeat(np.arange(len(texts)), sizes), many)
+        shift, wide = self.pair.n_a, self.pair.n_a * (self.pair.n_b + 1)
+        keys, times = _counted(owner * wide + self.links.data[at] + shift, self.times.data[at])
+        starts = np.searchsorted(keys, np.arange(len(texts)) * wide)
+        middles = np.searchsorted(keys, np.arange(len(texts)) * wide + shift)
+        stops = np.append(starts[1:], len(keys))
+        keys = keys % wide - shift
+        for k, pieces in enumerate(numbers):
+            sha = hashlib.sha256(b";".join(map(self.groups.__getitem__, pieces))).hexdigest() if pieces else ""
+            i, m, j = starts[k], middles[k], stops[k]
+            yield sums[k], sha, -1 - keys[i:m], times[i:m], keys[m:j], times[m:j]
 
 
 @lru_cache(1)
@@ -184,26 +264,23 @@ def _align(a_path: str, b_path: str):
         pieces = Pieces(loaded(a_path, b_path))
         task = TaskContext.get().partitionId()
         block = chars = 0
-        none = np.zeros(0, np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                text = text.as_py()
-                found = pieces.aligned(text)
-                sums, groups, a, codes = found or ([0] * 4, b"", none, none)
-                sha = hashlib.sha256(groups).hexdigest() if found else ""
-                ids, links = np.unique(a, return_counts=True)
-                pairs, pair_links = np.unique(codes, return_counts=True)
-                rows.append((
-                    doc_id.as_py(), *sums, sha, f"{task}-{block}", ids.astype("<u4").tobytes(), links.astype("<u4").tobytes(),
-                    pairs.astype("<i8").tobytes(), pair_links.astype("<u4").tobytes()))
-                chars += len(text or "")
+            ids, texts = batch["doc_id"].to_pylist(), [x or "" for x in batch["text"].to_pylist()]
+            at = 0
+            while at < len(texts):
+                # A portion of texts at a time; blocks end where a portion does.
+                stop, held = at, 0
+                while stop < len(texts) and held < PORTION_CHARS:
+                    held += len(texts[stop])
+                    stop += 1
+                yield _batch([
+                    (doc_id, *sums, sha, f"{task}-{block}", a.astype("<u4").tobytes(), a_links.astype("<i8").tobytes(),
+                     pairs.astype("<i8").tobytes(), pair_links.astype("<i8").tobytes())
+                    for doc_id, (sums, sha, a, a_links, pairs, pair_links) in zip(ids[at:stop], pieces.aligned(texts[at:stop]), strict=True)], ALIGNED)
+                at = stop
+                chars += held
                 if chars >= BLOCK_CHARS:
                     block, chars = block + 1, 0
-                    yield _batch(rows, ALIGNED)
-                    rows = []
-            if rows:
-                yield _batch(rows, ALIGNED)
         pieces.forget()
     return run
 
@@ -260,12 +337,6 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys)), pa.array(keys)], schema=NEEDED)
 
 
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
-
-
 @dataclass(frozen=True)
 class Counts:
     """Documents that link each pair: ``vector[a]`` for foretold pairs, ``pairs(key, n)`` for others; ``best[a]``: the highest of an A id."""
@@ -284,7 +355,7 @@ def _look_up_vector(vector: np.ndarray, best: np.ndarray):
         kept = [x.split()[0] for x in FIRST_SQL.split(", ")]
         for batch in batches:
             sizes = np.array([len(x.as_py()) // 4 for x in batch["a"]], np.int64)
-            a, links = _joined(batch["a"], "<u4"), _joined(batch["a_links"], "<u4").astype(np.int64)
+            a, links = _joined(batch["a"], "<u4"), _joined(batch["a_links"], "<i8")
             new = {
                 "n_best": pa.array(_sums(links * (vector[a] == best[a]), sizes)),
                 "count_sum": pa.array(_sums(links * vector[a], sizes))}
@@ -298,7 +369,7 @@ def _look_up_pairs(best: np.ndarray, n_b: int):
         order = np.argsort(keys := counts["key"].to_numpy())
         keys, n = keys[order], counts["n"].to_numpy()[order]
         sizes = np.array([len(x.as_py()) // 8 for x in docs["pairs"]], np.int64)
-        pairs, links = _joined(docs["pairs"], "<i8"), _joined(docs["pair_links"], "<u4").astype(np.int64)
+        pairs, links = _joined(docs["pairs"], "<i8"), _joined(docs["pair_links"], "<i8")
         found = n[np.searchsorted(keys, pairs)] if len(pairs) else np.zeros(0, np.int64)
         new = {
             "n_best": pa.array(docs["n_best"].to_numpy() + _sums(links * (found == best[pairs // n_b]), sizes)),
