@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relinker.llm import align, bpe, langid, merkle, minhash, mixing, pii, quality, tokenfile, topk, vectordup, warc
+from relinker.llm import align, bpe, langid, merkle, minhash, mixing, pii, quality, secrets, tokenfile, topk, vectordup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op12_merkle(spark, sf_dir):
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_topk": op1_topk,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op10_bpe": op10_bpe,
         "op11_align": op11_align,
         "op12_merkle": op12_merkle,
+        "op13_secrets": op13_secrets,
     }
 
 

@@ -44,10 +44,15 @@ def groups_of(pair, text):
         return out
     end_a, end_b = ends(a, pair.a_bytes), ends(b, pair.b_bytes)
     cuts = sorted(set(end_a) & set(end_b))
-    out, low = [], 0
-    for cut in cuts:
-        out.append(([x for x, e in zip(a, end_a) if low < e <= cut], [x for x, e in zip(b, end_b) if low < e <= cut]))
-        low = cut
+    place = {e: k for k, e in enumerate(cuts)}
+
+    def dealt(ids, ends):
+        parts, k = [[] for _ in cuts], 0
+        for x, e in zip(ids, ends):
+            parts[k].append(x)
+            k += e in place
+        return parts
+    out = list(zip(dealt(a, end_a), dealt(b, end_b)))
     return out
 
 
