@@ -53,5 +53,5 @@ class Settings:
     # Width of the hashed token space of fitted topics; every token has a place in it.
     topic_tokens: int = 1 << 18
     topic_rounds: int = 10
-    # A key held by more rows than this (and by more than 1% of them) is split over several tasks.
-    hot_key_rows: int = 500
+    # A join key that makes more pairs than this is split over several tasks.
+    pair_budget: int = 250_000

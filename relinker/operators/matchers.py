@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relinker.config import Settings
 from relinker.functions import strings, urls
 from relinker.operators.nearest import EPS, Measure, best_match, element
+from relinker.operators.segments import nearest_edits
 
 CHUNKS = (1, 2, 3, 4)
 SEED_CHUNKS = (7, 11)
@@ -90,7 +91,7 @@ def _match_sets(broken: DataFrame, live: DataFrame, cfg: Settings, algo: str, m:
     left = broken.withColumn("q", urls.char_set_text("url"))
     targets = live.groupBy(urls.char_set_text("url").alias("t")).agg(
         F.min(F.struct("live_idx", "url")).alias("f")).select("t", "f.live_idx", F.col("f.url").alias("live_url"))
-    best = best_match(left.select("q").distinct(), targets, m, cfg.hot_key_rows)
+    best = best_match(left.select("q").distinct(), targets, m, cfg.pair_budget)
     first = first_live(live)
     # Nothing in common with any live URL: score 0, and the first live URL is nominated.
     out = left.join(best, "q", "left").withColumn("first", first).where(F.col("first").isNotNull())
@@ -132,7 +133,7 @@ def _chunk_near(key: Column, probe: Column, slack: Column) -> Column:
 
 def _match_strings(broken: DataFrame, live: DataFrame, cfg: Settings, algo: str, m: Measure) -> DataFrame:
     targets = live.select(F.col("url").alias("t"), "live_idx", F.col("url").alias("live_url"))
-    best = best_match(broken.select(F.col("url").alias("q")), targets, m, cfg.hot_key_rows)
+    best = best_match(broken.select(F.col("url").alias("q")), targets, m, cfg.pair_budget)
     return _with_blanks(broken.withColumn("q", F.col("url")), best, live, algo)
 
 
@@ -173,11 +174,16 @@ LEVENSHTEIN = Measure(
 def levenshtein(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Arg-min of the raw edit distance, reported as 1 - distance / longer length; always votes.
 
+    Near URLs are found by segments, in rounds; what has nothing near is searched by its rarest chunks.
+
     A live URL without a common character is at distance max(length, length). What it can win
     depends on its length only, so the best of those comes from a per-length table.
     """
     targets = live.select(F.col("url").alias("t"), "live_idx", F.col("url").alias("live_url"))
-    best = best_match(broken.select(F.col("url").alias("q")), targets, LEVENSHTEIN, cfg.hot_key_rows)
+    found, rest = nearest_edits(broken.select(F.col("url").alias("q")), targets, cfg.pair_budget)
+    best = found.select("q", (-F.col("distance")).cast("double").alias("score"), "live_idx", "live_url")
+    if not rest.isEmpty():
+        best = best.unionByName(best_match(rest, targets, LEVENSHTEIN, cfg.pair_budget))
 
     by_length = live.groupBy(F.length("url").alias("len")).agg(F.min(F.struct("live_idx", "url")).alias("f"))
     lengths = by_length.select(F.collect_list(F.struct(
@@ -257,7 +263,7 @@ def fuzzy(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> Dat
     left = broken.withColumn("q", urls.token_sort_key("url"))
     targets = live.groupBy(urls.token_sort_key("url").alias("t")).agg(
         F.min(F.struct("live_idx", "url")).alias("f")).select("t", "f.live_idx", F.col("f.url").alias("live_url"))
-    best = best_match(left.select("q").distinct(), targets, FUZZY, cfg.hot_key_rows)
+    best = best_match(left.select("q").distinct(), targets, FUZZY, cfg.pair_budget)
     return _with_blanks(left, best, live, "fuzzy", scale=100.0)
 
 

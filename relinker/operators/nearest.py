@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relinker.operators.spread import hot_keys, spread, spread_join
+from relinker.operators.spread import pair_grid, spread, spread_join
 
 SEEDS = 64
 ALL = 1_000_000
@@ -79,7 +79,7 @@ def _rarest_tiling(elems: Column, need: Column, widths: tuple[int, ...]) -> Colu
     return F.coalesce(F.array_min(priced)["probes"], single)
 
 
-def best_match(queries: DataFrame, targets: DataFrame, m: Measure, hot_key_rows: int) -> DataFrame:
+def best_match(queries: DataFrame, targets: DataFrame, m: Measure, pair_budget: int) -> DataFrame:
     """``queries(q)``, ``targets(t, live_idx, live_url)`` -> ``(q, score, live_idx, live_url)``.
 
     Both sides hold distinct strings. Ties go to the smallest ``live_idx``. Queries that share no
@@ -117,10 +117,9 @@ def best_match(queries: DataFrame, targets: DataFrame, m: Measure, hot_key_rows:
         .withColumn("elem", F.col("probe.elem"))
     )
 
-    hot = hot_keys(
-        shared, "elem", queries.select(F.count("*").alias("n")), targets.select(F.count("*").alias("n")), hot_key_rows)
+    grid = pair_grid(shared.select("elem", "left_rows", "right_rows"), "elem", pair_budget)
     pairs = spread_join(
-        probes, postings.where(m.probed(F.col("elem"))), "elem", "q", "live_idx", hot)
+        probes, postings.where(m.probed(F.col("elem"))), "elem", "q", "live_idx", grid)
     floor = F.coalesce("floor", F.lit(float("-inf")))
     key, lost = F.col("key"), F.col("lost")
     at_earlier_probe = F.exists(

@@ -1,11 +1,15 @@
 """Equi-joins whose work must be spread over the whole cluster."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from relinker.sources.stage import settle
 
 # Tasks per configured shuffle partition where pairs are scored: work per key is uneven.
 PAIR_TASKS = 3
+# A list of split keys with at most this many rows is broadcast (below 1 MB); a longer one is joined by key and salt.
+BROADCAST_KEYS = 10_000
+SALTS = 32
 
 
 def spread(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
@@ -26,31 +30,39 @@ def partitions(df: DataFrame) -> int:
     return max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
 
 
-def hot_keys(shared: DataFrame, key: str, n_left: DataFrame, n_right: DataFrame, min_rows: int) -> DataFrame:
-    """Keys owned by more than ``min_rows`` rows and by more than 1% of the items of a side.
+def pair_grid(shared: DataFrame, key: str, budget: int) -> DataFrame:
+    """Slices of both sides for the keys of ``shared(key, left_rows, right_rows)`` that make more than ``budget`` pairs.
 
-    ``shared(key, left_rows, right_rows)`` counts each item once per key. An item (URL) has a bounded
-    number of keys k, so at most 100 k keys of a side pass the 1% test, whatever the size of the
-    data: the result is safe to broadcast.
+    A slice of the left side meets each slice of the right side in one group. Only the larger side is cut where that is enough;
+    where both sides are long, both are cut to the root of the budget.
     """
-    def slices(rows: str, n: DataFrame):
-        return F.ceil(F.col(rows) / F.greatest(F.lit(min_rows).cast("double"), n.scalar() / 100)).cast("int")
+    left, right = F.col("left_rows"), F.col("right_rows")
+    side = budget ** 0.5
 
-    return (
-        shared.select(key, slices("left_rows", n_left).alias("n_left"), slices("right_rows", n_right).alias("n_right"))
-        .where((F.col("n_left") > 1) | (F.col("n_right") > 1))
-    )
+    def slices(own: Column, other: Column) -> Column:
+        rows = F.when(own <= side, own).when(other <= side, budget / other).otherwise(F.lit(side))
+        return F.ceil(own / rows).cast("int")
 
+    return shared.where(left * right > budget).select(key, slices(left, right).alias("n_left"), slices(right, left).alias("n_right"))
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,
-                hot: DataFrame) -> DataFrame:
-    """Inner equi-join in which the pairs of a hot key are cut into a grid of smaller groups.
 
-    Rows of a hot key fall into one of n slices of their own side and are copied to each slice of
-    the other side, so each pair still meets exactly once. Other keys keep a single group.
+def spread_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, grid: DataFrame) -> DataFrame:
+    """Inner equi-join in which the pairs of a key that makes too many are cut into a grid of smaller groups.
+
+    Rows of such a key fall into one of n slices of their own side and are copied to each slice of the other side, so each
+    pair still meets exactly once. Other keys keep a single group. How many keys are split is counted before it is decided how
+    the rows learn of it: by a broadcast, or by a join in which the rows of one key are dealt over ``SALTS`` copies of it.
     """
+    grid = settle(grid)
+    few = grid.count() <= BROADCAST_KEYS
+
     def side(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
-        sliced = df.join(F.broadcast(hot), key, "left")
+        if few:
+            sliced = df.join(F.broadcast(grid), key, "left")
+        else:
+            salted = grid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            dealt = df.withColumn("salt", F.pmod(F.xxhash64(F.col(row_id), F.lit(1)), F.lit(SALTS)).cast("int"))
+            sliced = dealt.join(salted, [key, "salt"], "left").drop("salt")
         count = {c: F.coalesce(f"n_{c}", F.lit(1)) for c in (own, other)}
         return (
             sliced.withColumn(f"slice_{own}", F.pmod(F.xxhash64(row_id), count[own]).cast("int"))
@@ -62,3 +74,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right
     l = spread(side(left, left_id, "left", "right"), *on, times=PAIR_TASKS)
     r = spread(side(right, right_id, "right", "left"), *on, times=PAIR_TASKS)
     return l.join(r, on).drop("slice_left", "slice_right")
+
+
+def shared_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, left_rows, right_rows) of the keys that both sides have."""
+    return left.groupBy(key).agg(F.count("*").alias("left_rows")).join(right.groupBy(key).agg(F.count("*").alias("right_rows")), key)

@@ -9,7 +9,7 @@ from relinker.config import Settings
 from relinker.functions import urls
 from relinker.operators.matchers import first_live, votes
 from relinker.operators.nearest import EPS, pick_best
-from relinker.operators.spread import hot_keys, spread, spread_join
+from relinker.operators.spread import pair_grid, spread, spread_join
 
 GRAMS = (2, 3)
 SEEDS = 16
@@ -83,10 +83,8 @@ def vector(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> Da
         .select("idx", "floor", "rest", "x.gram", "x.wq")
     )
     left_rows = q_counts.groupBy("gram").agg(F.count("*").alias("left_rows"))
-    hot = hot_keys(
-        left_rows.join(vocabulary.select("gram", "right_rows"), "gram"), "gram",
-        broken.select(F.count("*").alias("n")), live.select(F.count("*").alias("n")), cfg.hot_key_rows)
-    known = spread_join(probes, postings, "gram", "idx", "live_idx", hot).groupBy("idx", "live_idx").agg(
+    grid = pair_grid(left_rows.join(vocabulary.select("gram", "right_rows"), "gram"), "gram", cfg.pair_budget)
+    known = spread_join(probes, postings, "gram", "idx", "live_idx", grid).groupBy("idx", "live_idx").agg(
         F.sum(F.col("wq") * F.col("wl")).alias("known"), F.sum(F.col("wl") * F.col("wl")).alias("used"),
         F.max("floor").alias("floor"), F.max("rest").alias("rest"))
     most = F.col("known") + F.col("rest") * F.sqrt(F.greatest(1 - F.col("used"), F.lit(0.0)))
@@ -191,10 +189,9 @@ def token_vector_match(broken: DataFrame, live: DataFrame, token_vectors: DataFr
 
     shared = probes.groupBy("cell").agg(F.count("*").alias("left_rows")).join(
         placed.groupBy("cell").agg(F.count("*").alias("right_rows")), "cell")
-    hot = hot_keys(shared, "cell", broken.select(F.count("*").alias("n")), live.select(F.count("*").alias("n")),
-                   cfg.hot_key_rows)
+    grid = pair_grid(shared, "cell", cfg.pair_budget)
     scored = (
-        spread_join(probes, placed, "cell", "idx", "live_idx", hot)
+        spread_join(probes, placed, "cell", "idx", "live_idx", grid)
         .select(F.col("idx").alias("q"), dot("v", "w").alias("score"), "live_idx", "live_url", "floor")
         .where((F.col("score") > 0) & (F.col("score") >= F.col("floor") - EPS) & (F.col("score") >= cfg.spacy_threshold))
     )

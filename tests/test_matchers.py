@@ -108,11 +108,11 @@ def expected(name):
     return out
 
 
-# With a limit of 1 row every shared key is split over several tasks.
-@pytest.mark.parametrize("hot_key_rows", [500, 1])
+# With a budget of 20 pairs most shared keys are split over several tasks.
+@pytest.mark.parametrize("pair_budget", [250_000, 20])
 @pytest.mark.parametrize("name", list(BRUTE))
-def test_best_match_equals_brute_force(tables, name, hot_key_rows):
-    got = getattr(matchers, name)(*tables, Settings(hot_key_rows=hot_key_rows)).collect()
+def test_best_match_equals_brute_force(tables, name, pair_budget):
+    got = getattr(matchers, name)(*tables, Settings(pair_budget=pair_budget)).collect()
     want = expected(name)
     assert len(got) == len(BROKEN)
     for r in got:
@@ -141,8 +141,8 @@ def grams(text, low, high):
     return Counter(text[i:i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1))
 
 
-@pytest.mark.parametrize("hot_key_rows", [500, 1])
-def test_vector_equals_dictionary_tfidf(tables, hot_key_rows):
+@pytest.mark.parametrize("pair_budget", [250_000, 20])
+def test_vector_equals_dictionary_tfidf(tables, pair_budget):
     docs = [grams(u, 2, 3) for u in LIVE]
     df = Counter(g for d in docs for g in d)
     idf = {g: math.log((1 + len(LIVE)) / (1 + c)) + 1 for g, c in df.items() if c >= 2}
@@ -153,7 +153,7 @@ def test_vector_equals_dictionary_tfidf(tables, hot_key_rows):
         return {g: x / norm for g, x in v.items()} if norm else {}
 
     units = [unit(d) for d in docs]
-    for r in vectors.vector(*tables, Settings(hot_key_rows=hot_key_rows)).collect():
+    for r in vectors.vector(*tables, Settings(pair_budget=pair_budget)).collect():
         q = unit(grams(r["url_404"], 2, 3))
         scores = [round(sum(w * u.get(g, 0.0) for g, w in q.items()), 9) for u in units]
         assert r["score"] == pytest.approx(max(scores), abs=2e-9)
