@@ -1,7 +1,8 @@
 """The character-level matchers: each nominates one live URL per broken URL.
 
-All of them are instances of ``nearest.best_match``; what differs is the element a string is cut
-into and the arithmetic that turns a score floor into a number of elements that may be lost.
+Sets of characters are searched by ``sets.nearest_sets``, edit distances by ``segments.nearest_edits``. The others are instances of
+``nearest.best_match``; what differs is the element a string is cut into and the arithmetic that turns a score floor into a number
+of elements that may be lost.
 
 Common contract: ``(broken(url, idx), live(url, live_idx), cfg)`` ->
 ``votes(url_404, algo, match_url, score, match_idx)``, one row per broken URL. With no live URL at
@@ -15,6 +16,7 @@ from relinker.config import Settings
 from relinker.functions import strings, urls
 from relinker.operators.nearest import EPS, Measure, best_match, element
 from relinker.operators.segments import nearest_edits
+from relinker.operators.sets import nearest_sets
 
 CHUNKS = (1, 2, 3, 4)
 SEED_CHUNKS = (7, 11)
@@ -43,13 +45,6 @@ def _ratio_inverse(floor: Column) -> Column:
 
 # ---- sets of characters ---------------------------------------------------------------------
 
-def _set_elements(text: Column) -> Column:
-    """The characters of a sorted character set; its runs of three serve as seeds."""
-    single = F.transform(urls.chars(text), lambda c, i: element(c, F.lit(1), i))
-    runs = F.transform(urls.substrings(text, 3), lambda c, i: element(c, F.lit(0), i))
-    return F.concat(single, runs)
-
-
 def _holds(key: Column, probe: Column, slack: Column) -> Column:
     return F.contains(key, probe["elem"])
 
@@ -60,38 +55,20 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
-JACCARD = Measure(
-    elements=_set_elements,
-    shares=_holds,
-    score=_jaccard,
-    # |A & B| >= floor * |A|, so at most (1 - floor) |A| characters of A are missing.
-    lost=lambda q, floor: F.when(floor > 0, _floor_int(F.length(q) * (1 - floor))),
-    probed=lambda elem: F.length(elem) == 1,
-    may_reach=lambda q, t, floor: F.least(F.length(q), F.length(t)) >= (floor - EPS) * F.greatest(F.length(q), F.length(t)),
-)
-
-
-def tversky_measure(alpha: float, beta: float) -> Measure:
+def _tversky(alpha: float, beta: float):
     def score(a: Column, b: Column) -> Column:
         common = strings.common_chars(a, b)
         below = common + alpha * (F.length(a) - common) + beta * (F.length(b) - common)
         return F.when(below > 0, common / below).otherwise(F.lit(0.0))
-
-    def lost(q: Column, floor: Column) -> Column:
-        # alpha x <= (|A| - x) (1/floor - 1) bounds the x missing characters of A.
-        r = _ratio_inverse(floor)
-        return _floor_int(F.length(q) * F.try_divide(r, alpha + r))
-
-    return Measure(elements=_set_elements, shares=_holds, score=score, lost=lost,
-                   probed=JACCARD.probed, may_reach=lambda q, t, floor: F.lit(True))
+    return score
 
 
-def _match_sets(broken: DataFrame, live: DataFrame, cfg: Settings, algo: str, m: Measure) -> DataFrame:
+def _match_sets(broken: DataFrame, live: DataFrame, cfg: Settings, algo: str, score, alpha: float, beta: float) -> DataFrame:
     """Scores distinct character sets only; a set stands for all its URLs by the first of them."""
     left = broken.withColumn("q", urls.char_set_text("url"))
     targets = live.groupBy(urls.char_set_text("url").alias("t")).agg(
         F.min(F.struct("live_idx", "url")).alias("f")).select("t", "f.live_idx", F.col("f.url").alias("live_url"))
-    best = best_match(left.select("q").distinct(), targets, m, cfg.pair_budget)
+    best = nearest_sets(left.select("q").distinct(), targets, score, alpha, beta, cfg.pair_budget)
     first = first_live(live)
     # Nothing in common with any live URL: score 0, and the first live URL is nominated.
     out = left.join(best, "q", "left").withColumn("first", first).where(F.col("first").isNotNull())
@@ -102,11 +79,12 @@ def _match_sets(broken: DataFrame, live: DataFrame, cfg: Settings, algo: str, m:
 
 
 def jaccard(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    return _match_sets(broken, live, cfg, "jaccard", JACCARD)
+    return _match_sets(broken, live, cfg, "jaccard", _jaccard, 1.0, 1.0)
 
 
 def tversky(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    return _match_sets(broken, live, cfg, "tversky", tversky_measure(cfg.tversky_alpha, cfg.tversky_beta))
+    return _match_sets(
+        broken, live, cfg, "tversky", _tversky(cfg.tversky_alpha, cfg.tversky_beta), cfg.tversky_alpha, cfg.tversky_beta)
 
 
 # ---- whole strings --------------------------------------------------------------------------

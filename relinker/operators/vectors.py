@@ -1,6 +1,8 @@
 """Matchers on vectors: TF-IDF over character n-grams, and mean token vectors."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,10 +11,14 @@ from relinker.config import Settings
 from relinker.functions import urls
 from relinker.operators.matchers import first_live, votes
 from relinker.operators.nearest import EPS, pick_best
-from relinker.operators.spread import pair_grid, spread, spread_join
+from relinker.operators.spread import pair_grid, shared_rows, spread, spread_join
+from relinker.sources.stage import settle
 
 GRAMS = (2, 3)
-SEEDS = 16
+# Floors of the rounds; the last round takes whatever is above 0.
+FLOORS = (0.7, 0.4, 0.0)
+SLACK = 1e-8
+BUCKETS = 64
 
 
 def gram_counts(docs: DataFrame, doc_id: str, low: int, high: int) -> DataFrame:
@@ -26,77 +32,85 @@ def gram_counts(docs: DataFrame, doc_id: str, low: int, high: int) -> DataFrame:
     )
 
 
+def _directions(counts: DataFrame, vocabulary: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, url, terms): unit TF-IDF vectors, rarest n-grams first, each as its number in the vocabulary.
+
+    A term has its weight, the length of the vector from the term on (``from``), and without it (``after``).
+    """
+    weighted = counts.join(vocabulary, "gram").withColumn("w", F.col("tf") * F.col("idf")).withColumn("gram", F.col("number"))
+    rows = spread(weighted, row_id).groupBy(row_id, "url").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+        F.sort_array(F.collect_list(F.struct("right_rows", "gram", "w"))).alias("sorted"))
+    term = "array<struct<gram:bigint,w:double,from:double,after:double>>"
+
+    def step(state: Column, x: Column) -> Column:
+        w = x["w"] / F.col("norm")
+        left = F.greatest(state["left"] - w * w, F.lit(0.0))
+        here = F.array(F.struct(x["gram"].alias("gram"), w.alias("w"), F.sqrt(state["left"]).alias("from"), F.sqrt(left).alias("after")))
+        return F.struct(left.alias("left"), F.concat(state["terms"], here).cast(term).alias("terms"))
+
+    start = F.struct(F.lit(1.0).alias("left"), F.array().cast(term).alias("terms"))
+    return rows.select(row_id, "url", F.aggregate("sorted", start, step, lambda s: s["terms"]).alias("terms"))
+
+
+def near_directions(queries: DataFrame, documents: DataFrame, budget: int) -> DataFrame:
+    """Distinct (idx, live_idx) of all pairs of vectors whose cosine reaches the ``floor`` of the query, and of some others.
+
+    Where a vector goes on with less than the floor, nothing that meets it only there can reach it. So both sides are joined on
+    their terms before that, in one order of all terms. At the first term of a pair the rest of their product is at most the
+    product of the lengths after it, which is tested while the pair is formed.
+    """
+    lowest = queries.agg(F.min("floor")).first()[0] or 0.0
+
+    def side(df: DataFrame, row_id: str, name: str, floor: Column, *more: str) -> DataFrame:
+        reaching = F.filter("terms", lambda x: x["from"] >= floor - SLACK)
+        return df.select(row_id, *more, F.explode(reaching).alias("x")).select(
+            row_id, *more, F.col("x.gram").alias("gram"), *[F.col(f"x.{c}").alias(f"{c}_{name}") for c in ("w", "from", "after")])
+
+    asked = settle(side(queries, "idx", "q", F.col("floor"), "floor").drop("from_q"))
+    held = settle(side(documents, "live_idx", "t", F.lit(lowest)))
+    grid = pair_grid(shared_rows(asked, held, "gram"), "gram", budget)
+    most = F.col("w_q") * F.col("w_t") + F.col("after_q") * F.col("after_t")
+    return spread_join(asked, held, "gram", "idx", "live_idx", grid).where(
+        (F.col("from_t") >= F.col("floor") - SLACK) & (most >= F.col("floor") - SLACK)).select("idx", "live_idx").distinct()
+
+
 def vector(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """TF-IDF cosine on character 2- and 3-grams fitted on the live URLs; always votes.
 
-    A query is joined on its heaviest n-grams only, until what remains of its vector is shorter
-    than half the floor (the prefix filter of all-pairs similarity search). The light n-grams left
-    out are those that nearly every URL has. A live URL without a joined n-gram cannot reach the
-    floor. For the others the product over the joined n-grams is known, and the Cauchy-Schwarz
-    bound on the rest leaves few pairs whose cosine has to be computed in full.
+    Rounds of falling floors: a query is done once its best cosine reaches its floor, as all live URLs that reach it have then
+    been compared. Else the best one seen is a floor that is certain to be reached.
     """
     live_counts = gram_counts(live, "live_idx", *GRAMS)
     n = live.select(F.count("*").alias("n")).scalar()
-    vocabulary = live_counts.groupBy("gram").agg(
-        F.count("*").alias("right_rows"), F.min("live_idx").alias("low"), F.max("live_idx").alias("high")
-    ).where(F.col("right_rows") >= 2).withColumn("idf", F.log((1 + n) / (1 + F.col("right_rows"))) + 1)
-
-    def weighted(counts: DataFrame, row_id: str) -> DataFrame:
-        terms = counts.join(vocabulary, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-        return spread(terms, row_id).groupBy(row_id, "url").agg(
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-            F.sort_array(F.collect_list(F.struct("w", "gram", "idf", "low", "high")), asc=False).alias("terms"))
-
-    documents = weighted(live_counts, "live_idx").withColumnRenamed("url", "live_url")
-    postings = documents.select("live_idx", "norm", F.explode("terms").alias("x")).select(
-        "live_idx", F.col("x.gram").alias("gram"), (F.col("x.w") / F.col("norm")).alias("wl"))
-    texts = documents.select("live_idx", "live_url", F.col("norm").alias("live_norm"))
-
-    q_counts = gram_counts(broken.select("idx", "url"), "idx", *GRAMS)
-    queries = weighted(q_counts, "idx")
-    # Query weight times idf: what one occurrence of the n-gram in a live URL adds to the product.
-    gains = queries.select("idx", F.map_from_entries(F.transform("terms", lambda x: F.struct(
-        x["gram"], x["w"] * x["idf"] / F.col("norm")))).alias("gain"))
-
-    def cosine() -> Column:
-        found = F.transform(urls.char_ngrams("live_url", *GRAMS),
-                            lambda g: F.coalesce(F.try_element_at("gain", g), F.lit(0.0)))
-        return F.round(F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x) / F.col("live_norm"), 9)
-
-    samples = F.slice(F.array_distinct(F.flatten(F.transform("terms", lambda x: F.array(x["low"], x["high"])))), 1, SEEDS)
-    seeds = queries.select("idx", F.explode(samples).alias("live_idx")).join(texts, "live_idx").join(gains, "idx")
-    floors = spread(seeds, "idx").groupBy("idx").agg(F.max(cosine()).alias("floor"))
-
-    # Squared share of the query vector that lies in a term and the lighter ones after it.
-    square = F.col("norm") * F.col("norm")
-    remaining = F.transform("terms", lambda x, i: F.struct(
-        x["gram"].alias("gram"), (x["w"] / F.col("norm")).alias("wq"),
-        (1 - F.aggregate(F.slice("terms", F.lit(1), i), F.lit(0.0), lambda acc, y: acc + y["w"] * y["w"]) / square
-         ).alias("square")))
-    probes = (
-        queries.join(floors, "idx", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-        .withColumn("remaining", remaining)
-        .withColumn("joined", F.filter("remaining", lambda x: x["square"] >= F.col("floor") * F.col("floor") / 4))
-        .withColumn("rest", F.coalesce(F.sqrt(F.greatest(F.try_element_at(
-            "remaining", F.size("joined") + 1)["square"], F.lit(0.0))), F.lit(0.0)))
-        .select("idx", "floor", "rest", F.explode("joined").alias("x"))
-        .select("idx", "floor", "rest", "x.gram", "x.wq")
-    )
-    left_rows = q_counts.groupBy("gram").agg(F.count("*").alias("left_rows"))
-    grid = pair_grid(left_rows.join(vocabulary.select("gram", "right_rows"), "gram"), "gram", cfg.pair_budget)
-    known = spread_join(probes, postings, "gram", "idx", "live_idx", grid).groupBy("idx", "live_idx").agg(
-        F.sum(F.col("wq") * F.col("wl")).alias("known"), F.sum(F.col("wl") * F.col("wl")).alias("used"),
-        F.max("floor").alias("floor"), F.max("rest").alias("rest"))
-    most = F.col("known") + F.col("rest") * F.sqrt(F.greatest(1 - F.col("used"), F.lit(0.0)))
-    scored = (
-        known.where(most >= F.col("floor") - 1e-8)
-        .join(texts, "live_idx").join(gains, "idx")
-        .select(F.col("idx").alias("q"), cosine().alias("score"), "live_idx", "live_url", "floor")
-        .where((F.col("score") > 0) & (F.col("score") >= F.col("floor")))
-    )
+    vocabulary = settle(live_counts.groupBy("gram").agg(F.count("*").alias("right_rows")).where("right_rows >= 2").withColumn(
+        "idf", F.log((1 + n) / (1 + F.col("right_rows"))) + 1).withColumn("number", F.monotonically_increasing_id()))
+    documents = settle(_directions(live_counts, vocabulary, "live_idx").withColumnRenamed("url", "live_url"))
+    queries = _directions(gram_counts(broken.select("idx", "url"), "idx", *GRAMS), vocabulary, "idx")
+    # A map is searched from its start, so the weights of a query lie in many small ones.
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.map_from_entries(F.transform(
+        F.filter("terms", lambda x: x["gram"] % BUCKETS == b), lambda x: F.struct(x["gram"], x["w"]))))
+    rest = settle(queries.withColumn("weights", buckets).withColumn("floor", F.lit(FLOORS[0])))
+    texts = documents.select("live_idx", "live_url", F.col("terms").alias("live_terms"))
+
+    cosine = F.round(F.aggregate("live_terms", F.lit(0.0), lambda total, x: total + x["w"] * F.coalesce(
+        F.try_element_at(F.get("weights", (x["gram"] % BUCKETS).cast("int")), x["gram"]), F.lit(0.0))), 9)
+    parts = []
+    for lower in (*FLOORS[1:], 0.0):
+        pairs = near_directions(rest, documents, cfg.pair_budget)
+        scored = pairs.join(texts, "live_idx").join(rest.select("idx", "weights"), "idx").select(
+            F.col("idx").alias("q"), cosine.alias("score"), "live_idx", "live_url")
+        seen = pick_best(scored.where("score > 0")).withColumnRenamed("q", "idx")
+        after = settle(rest.join(seen, "idx", "left"))
+        done = F.coalesce(F.col("score") >= F.col("floor"), F.lit(False))
+        parts.append(after.where(done).select(F.col("idx").alias("q"), "score", "live_idx", "live_url"))
+        rest = after.where(~done).select("idx", "terms", "weights", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(lower)).alias("floor"))
+        if rest.isEmpty():
+            break
+    best = reduce(DataFrame.unionByName, parts)
 
     out = (
-        broken.withColumn("q", F.col("idx")).join(pick_best(scored), "q", "left")
+        broken.withColumn("q", F.col("idx")).join(best, "q", "left")
         .withColumn("first", first_live(live))
         .where(vocabulary.select(F.min("gram").alias("g")).scalar().isNotNull())
     )

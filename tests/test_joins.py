@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from relinker.operators import segments, spread
+from relinker.operators import segments, sets, spread, vectors
 
 from test_matchers import edit_distance
 
@@ -89,3 +89,43 @@ def test_segment_join_lets_few_pairs_through(spark):
     pairs = {(r["q"], live[r["live_idx"]]) for r in rows.collect()}
     near = {(q, t) for q in broken for t in live if q[8:12] == t[8:12] and edit_distance(q, t) <= 3}
     assert near and near <= pairs
+
+
+@pytest.mark.parametrize("alpha, beta", [(1.0, 1.0), (0.5, 0.5), (0.1, 2.0)])
+def test_set_join_keeps_all_near_pairs_and_few_others(spark, alpha, beta):
+    rng = random.Random(8)
+    broken, live = (sorted({"".join(sorted(set(u + "".join(rng.choices("XYZ#~", k=rng.randrange(3)))))) for u in urls(rng, n)}) for n in (150, 400))
+    held = spark.createDataFrame([(x, i, x) for i, x in enumerate(live)], "t string, live_idx bigint, live_url string")
+    order = sets.rarity(held)
+    targets = sets.prepared(held, "t", order, "t")
+    queries = sets.prepared(spark.createDataFrame([(x,) for x in broken], "q string"), "q", order, "q")
+    rows = sets.candidates(queries, targets, max(map(len, live)), 0.9, alpha, beta, 1000)
+    pairs = {(r["q"], live[r["live_idx"]]) for r in rows.collect()}
+
+    def score(q, t):
+        a, b = set(q), set(t)
+        return len(a & b) / (len(a & b) + alpha * len(a - b) + beta * len(b - a))
+    near = {(q, t) for q in broken for t in live if score(q, t) >= 0.9}
+    assert near and near == pairs
+
+
+def test_direction_join_keeps_near_pairs_and_few_others(spark):
+    rng = random.Random(9)
+    hosts = [f"https://{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=8))}.org/" for _ in range(40)]
+    broken, live = ([rng.choice(hosts) + "".join(rng.choices("abcdefghijk/-", k=rng.randrange(6, 20))) for _ in range(n)] for n in (100, 300))
+    broken, live = list(dict.fromkeys(broken)), list(dict.fromkeys(live))
+    documents = spark.createDataFrame(list(enumerate(live)), "live_idx bigint, url string")
+    counts = vectors.gram_counts(documents, "live_idx", 2, 3)
+    vocabulary = counts.groupBy("gram").agg(F.count("*").alias("right_rows")).withColumn(
+        "idf", F.log(F.lit(1 + len(live)) / (1 + F.col("right_rows"))) + 1).withColumn("number", F.xxhash64("gram"))
+    held = vectors._directions(counts, vocabulary, "live_idx")
+    queries = spark.createDataFrame(list(enumerate(broken)), "idx bigint, url string")
+    asked = vectors._directions(vectors.gram_counts(queries, "idx", 2, 3), vocabulary, "idx").withColumn("floor", F.lit(0.6))
+    pairs = {(r["idx"], r["live_idx"]) for r in vectors.near_directions(asked, held, 1000).collect()}
+
+    def unit(rows, row_id):
+        return {r[row_id]: {x["gram"]: x["w"] for x in r["terms"]} for r in rows.collect()}
+    left, right = unit(asked, "idx"), unit(held, "live_idx")
+    near = {(i, j) for i, q in left.items() for j, t in right.items() if sum(w * t.get(g, 0.0) for g, w in q.items()) >= 0.6}
+    assert near and near <= pairs
+    assert len(pairs) <= 0.2 * len(broken) * len(live)

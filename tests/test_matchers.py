@@ -121,7 +121,7 @@ def test_best_match_equals_brute_force(tables, name, pair_budget):
         assert r["score"] == pytest.approx(score, abs=1e-8)
 
 
-@pytest.mark.parametrize("alpha, beta", [(0.0, 1.0), (1.0, 0.0), (0.2, 0.9)])
+@pytest.mark.parametrize("alpha, beta", [(0.0, 1.0), (1.0, 0.0), (0.2, 0.9), (0.0, 0.0), (3.0, 0.1)])
 def test_tversky_weights(tables, alpha, beta):
     def score(a, b):
         x, y = set(a), set(b)
