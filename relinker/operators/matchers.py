@@ -109,9 +109,19 @@ def _chunk_near(key: Column, probe: Column, slack: Column) -> Column:
     return F.contains(F.substr(key, start + 1, span.cast("int")), probe["elem"])
 
 
-def _match_strings(broken: DataFrame, live: DataFrame, cfg: Settings, algo: str, m: Measure) -> DataFrame:
+Near = tuple[DataFrame, DataFrame]
+
+
+def near_urls(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> Near:
+    """What ``nearest_edits`` finds among the URLs as they are. Several matchers start from it, so a run computes it once."""
+    targets = live.select(F.col("url").alias("t"), "live_idx", F.col("url").alias("live_url"))
+    return nearest_edits(broken.select(F.col("url").alias("q")), targets, cfg.pair_budget)
+
+
+def _match_strings(broken: DataFrame, live: DataFrame, cfg: Settings, algo: str, m: Measure, near: Near | None = None) -> DataFrame:
     targets = live.select(F.col("url").alias("t"), "live_idx", F.col("url").alias("live_url"))
-    best = best_match(broken.select(F.col("url").alias("q")), targets, m, cfg.pair_budget)
+    start = near[0].select("q", F.col("live_url").alias("t")) if near else None
+    best = best_match(broken.select(F.col("url").alias("q")), targets, m, cfg.pair_budget, start)
     return _with_blanks(broken.withColumn("q", F.col("url")), best, live, algo)
 
 
@@ -149,7 +159,7 @@ LEVENSHTEIN = Measure(
 )
 
 
-def levenshtein(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+def levenshtein(broken: DataFrame, live: DataFrame, cfg: Settings = Settings(), near: Near | None = None) -> DataFrame:
     """Arg-min of the raw edit distance, reported as 1 - distance / longer length; always votes.
 
     Near URLs are found by segments, in rounds; what has nothing near is searched by its rarest chunks.
@@ -158,7 +168,7 @@ def levenshtein(broken: DataFrame, live: DataFrame, cfg: Settings = Settings())
     depends on its length only, so the best of those comes from a per-length table.
     """
     targets = live.select(F.col("url").alias("t"), "live_idx", F.col("url").alias("live_url"))
-    found, rest = nearest_edits(broken.select(F.col("url").alias("q")), targets, cfg.pair_budget)
+    found, rest = near or near_urls(broken, live, cfg)
     best = found.select("q", (-F.col("distance")).cast("double").alias("score"), "live_idx", "live_url")
     if not rest.isEmpty():
         best = best.unionByName(best_match(rest, targets, LEVENSHTEIN, cfg.pair_budget))
@@ -214,8 +224,8 @@ RATCLIFF = Measure(
 )
 
 
-def ratcliff(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    return _match_strings(broken, live, cfg, "ratcliff", RATCLIFF)
+def ratcliff(broken: DataFrame, live: DataFrame, cfg: Settings = Settings(), near: Near | None = None) -> DataFrame:
+    return _match_strings(broken, live, cfg, "ratcliff", RATCLIFF, near or near_urls(broken, live, cfg))
 
 
 def _percent_floor(floor: Column) -> Column:
@@ -241,7 +251,10 @@ def fuzzy(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> Dat
     left = broken.withColumn("q", urls.token_sort_key("url"))
     targets = live.groupBy(urls.token_sort_key("url").alias("t")).agg(
         F.min(F.struct("live_idx", "url")).alias("f")).select("t", "f.live_idx", F.col("f.url").alias("live_url"))
-    best = best_match(left.select("q").distinct(), targets, FUZZY, cfg.pair_budget)
+    keys = left.select("q").distinct()
+    found, _ = nearest_edits(keys, targets, cfg.pair_budget)
+    near = found.join(targets.select("live_idx", "t"), "live_idx").select("q", "t")
+    best = best_match(keys, targets, FUZZY, cfg.pair_budget, near)
     return _with_blanks(left, best, live, "fuzzy", scale=100.0)
 
 
@@ -281,6 +294,7 @@ HAMMING = Measure(
 
 
 def hamming(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """The nearest URL by edit distance is often shifted and says little here, so floors come from samples."""
     return _match_strings(broken, live, cfg, "hamming", HAMMING)
 
 
@@ -322,5 +336,5 @@ JARO_WINKLER = Measure(
 )
 
 
-def jaro_winkler(broken: DataFrame, live: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    return _match_strings(broken, live, cfg, "jaro_winkler", JARO_WINKLER)
+def jaro_winkler(broken: DataFrame, live: DataFrame, cfg: Settings = Settings(), near: Near | None = None) -> DataFrame:
+    return _match_strings(broken, live, cfg, "jaro_winkler", JARO_WINKLER, near or near_urls(broken, live, cfg))

@@ -79,11 +79,12 @@ def _rarest_tiling(elems: Column, need: Column, widths: tuple[int, ...]) -> Colu
     return F.coalesce(F.array_min(priced)["probes"], single)
 
 
-def best_match(queries: DataFrame, targets: DataFrame, m: Measure, pair_budget: int) -> DataFrame:
+def best_match(queries: DataFrame, targets: DataFrame, m: Measure, pair_budget: int, near: DataFrame | None = None) -> DataFrame:
     """``queries(q)``, ``targets(t, live_idx, live_url)`` -> ``(q, score, live_idx, live_url)``.
 
     Both sides hold distinct strings. Ties go to the smallest ``live_idx``. Queries that share no
-    element with any target are absent.
+    element with any target are absent. ``near(q, t)`` gives some queries a target that is known to
+    be similar; its score is their floor, and only the others are scored against samples.
     """
     t = F.col("t")
     # A substring may occur twice in one target; it is posted once.
@@ -104,7 +105,11 @@ def best_match(queries: DataFrame, targets: DataFrame, m: Measure, pair_budget:
             F.struct("n_targets", "pos", "elem", "width", "low", "high"))).alias("elems"))
     )
 
-    floors = _floors(profile, targets, m)
+    if near is None:
+        floors = _floors(profile, targets, m)
+    else:
+        known = near.select("q", m.score(F.col("q"), F.col("t")).alias("floor"))
+        floors = known.unionByName(_floors(profile.join(near.select("q"), "q", "left_anti"), targets, m))
     probes = profile.join(floors, "q", "left")
     need = F.coalesce(m.lost(q, F.col("floor")) + 1, F.lit(ALL))
     probes = (

@@ -11,7 +11,7 @@ from relinker.config import Settings
 from relinker.operators import consensus, history as hist, matchers, model, reports, topics, vectors
 from relinker.sources.stage import settle
 
-Matcher = Callable[[DataFrame, DataFrame, Settings], DataFrame]
+Matcher = Callable[..., DataFrame]
 
 # A user adds a matcher by adding an entry here and its name to ``Settings.algorithms``.
 MATCHERS: dict[str, Matcher] = {
@@ -25,6 +25,9 @@ MATCHERS: dict[str, Matcher] = {
     "vector": vectors.vector,
 }
 
+# These start from the nearest URLs by edit distance, which are searched once for all of them.
+NEAR = {"ratcliff", "levenshtein", "jaro_winkler"}
+
 
 def find_votes(broken: DataFrame, live: DataFrame, cfg: Settings = Settings(),
                token_vectors: DataFrame | None = None, page_topics: DataFrame | None = None,
@@ -39,7 +42,9 @@ def find_votes(broken: DataFrame, live: DataFrame, cfg: Settings = Settings(),
         raise ValueError(f"unknown matchers: {', '.join(unknown)}")
     if "spacy" in cfg.algorithms and token_vectors is None:
         raise ValueError("the matcher spacy needs token vectors: give them or leave it out of Settings.algorithms")
-    parts = [match(broken, live, cfg) for name, match in MATCHERS.items() if name in cfg.algorithms]
+    enabled = {name: match for name, match in MATCHERS.items() if name in cfg.algorithms}
+    near = matchers.near_urls(broken, live, cfg) if enabled.keys() & NEAR else None
+    parts = [match(broken, live, cfg, near) if name in NEAR else match(broken, live, cfg) for name, match in enabled.items()]
     if "bertopic" in cfg.algorithms:
         given = page_topics if page_topics is not None else settle(topics.fit_topics(broken, live, cfg))
         parts.append(topics.topic_match(broken, live, given))
