@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from relinker.llm.common import give_back, through_pandas
+
 # Tasks are the unit of parallel work; threads of the library in each of them only add overhead.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -184,7 +186,9 @@ def _short(path: str, finish: Finish, names: list[str]):
                 found = pd.DataFrame([finish(*x) for x in words.encode(texts[at:stop])], columns=names)
                 yield pd.concat([kept.iloc[at:stop].reset_index(drop=True), found], axis=1)
                 at = stop
+        # Workers outlive their tasks, and the next stage needs the memory.
         words.forget()
+        give_back()
     return run
 
 
@@ -258,7 +262,7 @@ def encode_with(docs: DataFrame, path: str, finish: Finish, schema: str, keep: l
     names = [x.split()[0] for x in schema.split(", ")]
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"), long_runs("text").alias("long"))
-    short = rows.where("not long").drop("long").mapInPandas(_short(path, finish, names), f"{kept}, {schema}")
+    short = through_pandas(rows.where("not long").drop("long"), _short(path, finish, names), f"{kept}, {schema}")
     numbered = rows.where("long").drop("long").withColumn("row", F.monotonically_increasing_id())
     leaves = (
         numbered.select("row", "text").mapInPandas(_cut(path), CUT_SCHEMA)

@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 from relinker.sources.stage import settle, shared_folder
 
@@ -30,6 +32,36 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def through_pandas(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``mapInPandas`` that hands columns on as they are: whole numbers travel as text.
+
+    pandas turns whole numbers into doubles where one of a batch is null, and those beyond 2^53 into others. Columns of the result
+    named as whole-number columns of ``df`` are expected as text, too.
+    """
+    whole = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, IntegralType)}
+    given = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in whole else F.col(f"`{c}`") for c in df.columns])
+    out = StructType.fromDDL(schema)
+    text = StructType([StructField(f.name, StringType() if f.name in whole else f.dataType) for f in out.fields])
+    found = given.mapInPandas(run, text)
+    return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in whole else F.col(f"`{f.name}`") for f in out.fields])
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task, as Python workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Other C libraries have no such call.
+        pass
+
+
 def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

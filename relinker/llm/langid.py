@@ -1,16 +1,17 @@
 """Language identification of code-switched text: a linear-chain conditional random field labels every word."""
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relinker.llm import chains
 from relinker.llm.chains import Field
+from relinker.llm.common import give_back, through_pandas
 
 # The label of a text without letters, and the rows that are held out.
 UNDETERMINED = "und"
@@ -27,9 +28,10 @@ PIECE = 20
 #: A document of whose words less than this share is in its language is rejected by a filter.
 LEAST_SCORE = 0.5
 
-TOKENS = re.compile(r"[^\W\d_]+|\n")
+# Letters alone: fractions and raised digits are none.
+TOKENS = regex.compile(r"\p{L}+|\n")
 EDGE = 1
-CACHE = 400_000
+CACHE = 200_000
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -227,11 +229,13 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
                 at = stop
             if found:
                 yield pd.concat([batch.drop(columns="_text").reset_index(drop=True), pd.concat(found, ignore_index=True)], axis=1)
+        del labeller
+        give_back()
 
     rows = docs.drop("lang_pred", "score").withColumn("_text", F.coalesce("text", F.lit("")))
     kept = [f for f in rows.schema.fields if f.name != "_text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
-    return rows.mapInPandas(run, schema)
+    return through_pandas(rows, run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -243,6 +247,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Documents in a language: those without letters and those of whose words less than ``LEAST_SCORE`` is in their language go."""
-    found = predict(docs, fit(training_rows(docs)))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a language: those without letters and those of whose words less than ``LEAST_SCORE`` is in their language go.
+
+    Null and empty texts have no letters and go, texts of any length are read whole, repeated rows stay or go together, an empty table
+    gives no rows. All columns are returned as they were, also those with names that are used here.
+    """
+    names = [c if c == "text" else f"column {i}" for i, c in enumerate(docs.columns)]
+    found = predict(docs.toDF(*names), fit(training_rows(docs)))
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)])

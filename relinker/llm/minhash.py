@@ -8,7 +8,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from relinker.llm.common import components, settle, written
+from relinker.llm.common import components, settle, through_pandas, written
 
 # Words of a shingle.
 SHINGLE = 5
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     "second_sum": second, "sketch": [s[:SKETCH] for s in sets]})
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(run, "doc_id bigint, n bigint, first_sum bigint, second_sum bigint, sketch array<bigint>")
+    return through_pandas(slim, run, "doc_id bigint, n bigint, first_sum bigint, second_sum bigint, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "shingles": shingle_sets(part["text"].tolist())})
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    return slim.join(ids.select("doc_id"), "doc_id", "left_semi").mapInPandas(run, "doc_id bigint, shingles array<bigint>")
+    return through_pandas(slim.join(ids.select("doc_id"), "doc_id", "left_semi"), run, "doc_id bigint, shingles array<bigint>")
 
 
 def representatives(found: DataFrame) -> tuple[DataFrame, DataFrame]:

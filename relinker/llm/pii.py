@@ -9,9 +9,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from relinker.llm import chains
 from relinker.llm.chains import Field
+from relinker.llm.common import through_pandas
 
 # Kinds in order, their patterns and limits.
 KINDS = ("email", "ip", "card", "phone")
@@ -320,7 +322,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     rows = docs.drop("base", "spans")
     span = "array<struct<kind:string,begin:bigint,end:bigint>>"
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{kept}, base {span}, spans {span}")
+    return through_pandas(rows, run, f"{kept}, base {span}, spans {span}")
 
 
 def _structs(spans: list[list[Span]]) -> list[list[dict]]:
@@ -345,7 +347,7 @@ def report(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=columns)], axis=1)
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return through_pandas(slim, run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
 
 
 def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -355,6 +357,8 @@ def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     field = field or fit()
     has_length = "n_chars" in docs.columns
+    # Whole numbers travel as text.
+    length = (lambda t: str(len(t))) if has_length and isinstance(docs.schema["n_chars"].dataType, IntegralType) else len
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -367,10 +371,10 @@ def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 out.append(mask(t, spans) if spans else original)
             batch = batch.assign(text=out)
             if has_length:
-                batch["n_chars"] = [len(t) if isinstance(t, str) else n for t, n in zip(out, batch["n_chars"], strict=True)]
+                batch["n_chars"] = [length(t) if isinstance(t, str) else n for t, n in zip(out, batch["n_chars"], strict=True)]
             yield batch
 
-    return docs.mapInPandas(run, docs.schema)
+    return through_pandas(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
 def mask(text: str, spans: list[Span]) -> str:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from relinker.llm.common import settle
+from relinker.llm.common import settle, through_pandas
 
 #: Grades from bad to good, as the labels give them: toxic; not toxic but of low quality; neither.
 GRADES = ("toxic", "low", "good")
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, model: Ordinal) -> DataFrame:
                 "kept": tail[:, SELECT_GRADE - 1] >= SELECT_PROBABILITY})
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(run, "doc_id bigint, expected_grade double, tail_probability double, kept boolean")
+    return through_pandas(slim, run, "doc_id bigint, expected_grade double, tail_probability double, kept boolean")
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:

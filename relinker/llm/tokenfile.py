@@ -436,6 +436,8 @@ def write_blocks(docs: DataFrame, folder: str, path: str) -> str:
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_docs = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("file", F.spark_partition_id())
+    # As text: pandas would turn ids beside a null one into doubles.
+    sorted_docs = sorted_docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     sorted_docs.mapInPandas(run, "file int, block bigint, data binary").write.parquet(folder)
     return folder
 
