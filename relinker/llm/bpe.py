@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relinker.llm.common import give_back, through_pandas
+from relinker.llm.common import give_back, through_pandas, written
 
 # Tasks are the unit of parallel work; threads of the library in each of them only add overhead.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -263,7 +263,8 @@ def encode_with(docs: DataFrame, path: str, finish: Finish, schema: str, keep: l
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"), long_runs("text").alias("long"))
     short = through_pandas(rows.where("not long").drop("long"), _short(path, finish, names), f"{kept}, {schema}")
-    numbered = rows.where("long").drop("long").withColumn("row", F.monotonically_increasing_id())
+    # Written, as it is read twice and found only by a look at every text.
+    numbered = written(rows.where("long").drop("long").withColumn("row", F.monotonically_increasing_id()), "long")
     leaves = (
         numbered.select("row", "text").mapInPandas(_cut(path), CUT_SCHEMA)
         .repartition("row", "seq", "part").mapInPandas(_leaves(path), CUT_SCHEMA.replace("special bigint", "ids array<bigint>, widths array<bigint>")))
