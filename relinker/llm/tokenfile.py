@@ -6,8 +6,9 @@ are coded in any order and many at a time: one numpy step codes the next id of e
 
 Model. For the next id, order 2 (the two ids before) and order 1 (the id before) each predict the id that last followed, with a count of
 how often that held; order 0 remembers the last id of every slot of a small table. Counters mixed from the contexts
-of both orders give the odds of "the order-2 id", then of "the order-1 id", then of "an id that order 0 knows"; what nobody predicts is
-coded by an adaptive length class and its bits. All arithmetic is on integers, so every machine decodes alike.
+of both orders give the odds of "the order-2 id", then of "the order-1 id", then of "an id that order 0 knows", which is coded by
+how often each slot was asked before; what nobody predicts is coded by an adaptive length class and its remaining bits. All
+arithmetic is on integers, so every machine decodes alike.
 """
 from __future__ import annotations
 
@@ -29,13 +30,19 @@ END = 2
 
 BLOCK = 2048
 GROUP = 4096
-MAGIC = b"RCB1"
+# Characters of the texts of a file, on average, where the shuffle partitions are too few for that.
+FILE_CHARS = 1 << 28
+MAGIC = b"RCB2"
 HEAD = "<4sIIII"
 PIECE = "<qqIBB"
 HEAD_BYTES, PIECE_BYTES = struct.calcsize(HEAD), struct.calcsize(PIECE)
 
 SLOT_BITS = 10
 KNOWN_BITS = 10
+# Slots of order 0 are counted one by one and by rows of this many.
+ROW_BITS = 5
+ROW = 1 << ROW_BITS
+CELLS = np.arange(ROW)
 TOP = np.uint64(1 << 48)
 MASK = np.uint64((1 << 48) - 1)
 LEAST = np.uint64(1 << 32)
@@ -58,6 +65,10 @@ class Model:
         self.base_odds, self.base_eight = self.rows << 7, self.rows << 3
         self.two, self.one = np.zeros(n << SLOT_BITS, np.uint32), np.zeros(n << SLOT_BITS, np.uint32)
         self.known = np.full(n << KNOWN_BITS, 0xFFFFFFFF, np.uint32)
+        # How often order 0 was asked for the id of each slot: by slot, by row of slots, in all.
+        self.asked = np.zeros(n << KNOWN_BITS, np.uint16)
+        self.asked_rows, self.asked_all = np.zeros(n << KNOWN_BITS - ROW_BITS, np.uint16), np.zeros(n, np.int32)
+        self.by_slot, self.by_row = self.asked.reshape(-1, ROW), self.asked_rows.reshape(n, -1)
         # Odds of the order-2 id by the counts of both orders and whether they agree, mixed with those by order 2 alone.
         self.odds_both, self.odds_two = np.full(n << 7, 2048, np.int32), np.full(n << 3, 2048, np.int32)
         self.odds_one, self.odds_known = np.full(n << 3, 1024, np.int32), np.full(n, 2048, np.int32)
@@ -79,6 +90,19 @@ class Model:
         self.p_both, self.p_alone = self.odds_both.take(self.at_both), self.odds_two.take(self.at_alone)
         self.p_two = (self.p_both + self.p_alone) >> 1
 
+    def ask(self, rows: np.ndarray, slot: np.ndarray, count: np.ndarray | int = 1) -> None:
+        """Adds to the counts of a slot; a block has fewer ids than a count can hold."""
+        self.asked[self.base_known[rows] + slot] += np.uint16(count)
+        self.asked_rows[(self.base_known[rows] + slot) >> ROW_BITS] += np.uint16(count)
+        self.asked_all[rows] += count
+
+    def replace(self, rows: np.ndarray, slot: np.ndarray, ids: np.ndarray) -> None:
+        """A slot takes a new id; it keeps its counts, and one that had none gets one."""
+        at = self.base_known[rows] + slot
+        self.known[at] = ids
+        new = np.flatnonzero(self.asked.take(at) == 0)
+        self.ask(rows[new], slot[new])
+
     def learn_class(self, rows: np.ndarray, found: np.ndarray) -> None:
         self.classes[rows, found] += 24
         self.total[rows] += 24
@@ -97,7 +121,6 @@ class Model:
         count = np.where(held, np.minimum(self.n_one + np.uint32(1), np.uint32(7)), self.n_one >> np.uint32(1))
         # A prediction of order 1 that held often is given up only after it has failed as often.
         self.one[self.at_one] = np.where(held | (self.n_one < 2), fresh, self.id_one << np.uint32(3)) + count
-        self.known[self.base_known[:k] + slot_of(ids)] = ids
         self.before[:k] = self.last[:k]
         self.last[:k] = ids
 
@@ -107,7 +130,7 @@ def _moved(odds: np.ndarray, hit: np.ndarray) -> np.ndarray:
 
 
 def slot_of(ids: np.ndarray) -> np.ndarray:
-    return ids * np.uint32(0x9E3779B1) >> np.uint32(32 - KNOWN_BITS)
+    return (ids * np.uint32(0x9E3779B1) >> np.uint32(32 - KNOWN_BITS)).astype(np.int64)
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
@@ -127,8 +150,8 @@ class Encoder:
         bound = (wide >> np.uint64(BITS)) * odds.astype(np.uint64)
         self._narrow(rows, np.where(hit, np.uint64(0), bound), np.where(hit, bound, wide - bound))
 
-    def even(self, rows: np.ndarray, value: np.ndarray, bits: int) -> None:
-        part = self.range[rows] >> np.uint64(bits)
+    def even(self, rows: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
+        part = self.range[rows] >> bits.astype(np.uint64)
         self._narrow(rows, part * value.astype(np.uint64), part)
 
     def of(self, rows: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
@@ -200,9 +223,10 @@ class Decoder:
         self._narrow(rows, np.where(hit, code, code - bound), np.where(hit, bound, wide - bound))
         return hit
 
-    def even(self, rows: np.ndarray, bits: int) -> np.ndarray:
-        part, code = self.range[rows] >> np.uint64(bits), self.code[rows]
-        value = np.minimum(_ratio(code, part), np.uint64((1 << bits) - 1))
+    def even(self, rows: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        bits = bits.astype(np.uint64)
+        part, code = self.range[rows] >> bits, self.code[rows]
+        value = np.minimum(_ratio(code, part), (np.uint64(1) << bits) - np.uint64(1))
         self._narrow(rows, code - part * value, part)
         return value.astype(np.int64)
 
@@ -263,18 +287,53 @@ def _put_rare(model: Model, coder: Encoder, rows: np.ndarray, ids: np.ndarray) -
     odds = model.odds_known[rows]
     coder.bit(rows, known, odds)
     model.odds_known[rows] = _moved(odds, known)
-    coder.even(rows[known], slot[known], KNOWN_BITS)
-    rows, ids = rows[~known], ids[~known]
+    _put_slot(model, coder, rows[known], slot[known])
+    rows, ids, slot = rows[~known], ids[~known], slot[~known]
     if len(rows):
         found = class_of(ids)
         before = np.cumsum(model.classes[rows], axis=1)
         freq = model.classes[rows, found]
         coder.of(rows, before[np.arange(len(rows)), found] - freq, freq, model.total[rows])
         model.learn_class(rows, found)
-        wide = found > 16
-        if wide.any():
-            coder.even(rows[wide], ids[wide] >> np.uint32(16), 16)
-        coder.even(rows, ids & np.uint32(0xFFFF), 16)
+        model.replace(rows, slot, ids)
+        high, low = _rest_bits(found)
+        wide = np.flatnonzero(high)
+        if len(wide):
+            coder.even(rows[wide], (ids[wide] >> np.uint32(16)) - (1 << high[wide]), high[wide])
+        coder.even(rows, np.where(high > 0, ids & np.uint32(0xFFFF), ids & ((1 << low) - 1)), low)
+
+
+def _rest_bits(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of an id that its length class leaves open, above and within its lowest 16; the first bit is always one."""
+    rest = np.maximum(found - 1, 0)
+    return np.maximum(rest - 16, 0), np.minimum(rest, 16)
+
+
+def _put_slot(model: Model, coder: Encoder, rows: np.ndarray, slot: np.ndarray) -> None:
+    row, cell = slot >> ROW_BITS, slot & (ROW - 1)
+    at = model.base_known[rows] + slot
+    before = np.where(CELLS < row[:, None], model.by_row.take(rows, axis=0), 0).sum(axis=1, dtype=np.int32)
+    before += np.where(CELLS < cell[:, None], model.by_slot.take(at >> ROW_BITS, axis=0), 0).sum(axis=1, dtype=np.int32)
+    coder.of(rows, before, model.asked.take(at), model.asked_all[rows])
+    model.ask(rows, slot)
+
+
+def _found(counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each row of counts that holds a place, and what stands before it."""
+    ends = np.cumsum(counts, axis=1, dtype=np.int32)
+    cell = (ends <= place[:, None]).sum(axis=1)
+    at = np.arange(len(place))
+    return cell, ends[at, cell] - counts[at, cell]
+
+
+def _take_slot(model: Model, coder: Decoder, rows: np.ndarray) -> np.ndarray:
+    place = coder.of(rows, model.asked_all[rows])
+    row, before = _found(model.by_row.take(rows, axis=0), place)
+    cell, more = _found(model.by_slot.take((model.base_known[rows] >> ROW_BITS) + row, axis=0), place - before)
+    slot = (row << ROW_BITS) + cell
+    coder.took(rows, before + more, model.asked.take(model.base_known[rows] + slot))
+    model.ask(rows, slot)
+    return slot
 
 
 def decode_blocks(coded: list[bytes], lengths_in: list[int]) -> list[np.ndarray]:
@@ -312,7 +371,7 @@ def _take_rare(model: Model, coder: Decoder, rows: np.ndarray) -> np.ndarray:
     known = coder.bit(rows, odds)
     model.odds_known[rows] = _moved(odds, known)
     some = rows[known]
-    ids[known] = model.known.take(model.base_known[some] + coder.even(some, KNOWN_BITS))
+    ids[known] = model.known.take(model.base_known[some] + _take_slot(model, coder, some))
     some = rows[~known]
     if len(some):
         place = coder.of(some, model.total[some])
@@ -321,11 +380,14 @@ def _take_rare(model: Model, coder: Decoder, rows: np.ndarray) -> np.ndarray:
         freq = model.classes[some, found]
         coder.took(some, before[np.arange(len(some)), found] - freq, freq)
         model.learn_class(some, found)
-        value = np.zeros(len(some), np.int64)
-        wide = found > 16
-        if wide.any():
-            value[wide] = coder.even(some[wide], 16) << 16
-        ids[~known] = (value | coder.even(some, 16)).astype(np.uint32)
+        high, low = _rest_bits(found)
+        value = np.where(found > 0, np.int64(1) << high + low, 0)
+        wide = np.flatnonzero(high)
+        if len(wide):
+            value[wide] |= coder.even(some[wide], high[wide]) << 16
+        fresh = (value | coder.even(some, low)).astype(np.uint32)
+        ids[~known] = fresh
+        model.replace(some, slot_of(fresh), fresh)
     return ids
 
 
@@ -349,17 +411,35 @@ class ByteWords:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        # U+0120 stands for a space in byte-level vocabularies.
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.ids: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        from array import array
-
         new = [p for p in pieces if p not in self.ids]
         if len(self.ids) + len(new) > CACHE:
             self.ids = {}
             new = list(pieces)
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.ids.update(zip(new, (array("I", c.ids).tobytes() for c in coded), strict=True))
+        # Pieces that start with a space can stand behind each other: only their first ids start with one.
+        spaced = [p for p in new if len(p) > 1 and p[0] == " " and p[1] not in _WHITE]
+        for at in range(0, len(spaced), 4096):
+            some = spaced[at:at + 4096]
+            joined = "".join(some)
+            if any(s in joined for s in self.special):
+                self._learn_each(some)
+                continue
+            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            raw, ends = ids.tobytes(), (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
+            self.ids.update(zip(some, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        self._learn_each([p for p in new if len(p) < 2 or p[0] != " " or p[1] in _WHITE])
+
+    def _learn_each(self, pieces: list[str]) -> None:
+        from array import array
+
+        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        self.ids.update(zip(pieces, (array("I", c.ids).tobytes() for c in coded), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
@@ -434,7 +514,8 @@ def write_blocks(docs: DataFrame, folder: str, path: str) -> str:
         words.ids = {}
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-(slim.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // FILE_CHARS))
     sorted_docs = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("file", F.spark_partition_id())
     # As text: pandas would turn ids beside a null one into doubles.
     sorted_docs = sorted_docs.withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -445,32 +526,63 @@ def write_blocks(docs: DataFrame, folder: str, path: str) -> str:
 PIECE_SCHEMA = "file int, number bigint, doc_id bigint, block bigint, offset bigint, n bigint, crc bigint, whole boolean"
 
 
-def read_pieces(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
-    """One row per piece of a document in a block, with the checksum of its ids; a block that fails its own checksum raises."""
+def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes, tuple, bytes]]:
+    """(file, block, data, head, raw ids) of each row; a block that fails its own checksum raises."""
+    for batch in batches:
+        for at in range(0, len(batch), GROUP):
+            part = batch.iloc[at:at + GROUP]
+            heads = [struct.unpack_from(HEAD, d) for d in part["data"]]
+            coded = [d[HEAD_BYTES + h[3] * PIECE_BYTES:][:h[2]] for d, h in zip(part["data"], heads, strict=True)]
+            found = decode_blocks(coded, [h[1] for h in heads])
+            for file, block, data, head, ids in zip(part["file"], part["block"], part["data"], heads, found, strict=True):
+                raw = ids.astype("<u4").tobytes()
+                if head[0] != MAGIC or zlib.crc32(raw) != head[4]:
+                    raise ValueError(f"block {block} of file {file} is damaged")
+                yield int(file), int(block), data, head, raw
+
+
+def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per run of a document's ids that a task meets in order, with their checksum; ``whole`` if that is all of them.
+
+    A task reads the blocks of a file one after the other and carries the checksum of the document that the end of a block
+    cuts, so only documents at the border of two tasks come in several rows.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), GROUP):
-                part = batch.iloc[at:at + GROUP]
-                heads = [struct.unpack_from(HEAD, d) for d in part["data"]]
-                coded = [d[HEAD_BYTES + h[3] * PIECE_BYTES:][:h[2]] for d, h in zip(part["data"], heads, strict=True)]
-                rows = []
-                for file, block, data, head, ids in zip(
-                        part["file"], part["block"], part["data"], heads, decode_blocks(coded, [h[1] for h in heads]), strict=True):
-                    raw = ids.astype("<u4").tobytes()
-                    if head[0] != MAGIC or zlib.crc32(raw) != head[4]:
-                        raise ValueError(f"block {block} of file {file} is damaged")
-                    offset = 0
-                    for i in range(head[3]):
-                        doc, number, n, flags, last = struct.unpack_from(PIECE, data, HEAD_BYTES + i * PIECE_BYTES)
-                        piece = raw[4 * offset:4 * (offset + n)]
-                        rows.append((file, number, None if flags & 2 else doc, block, offset, n, zlib.crc32(piece), bool(flags & 1 and last))
-                                    + ((np.frombuffer(piece, "<u4").astype(np.int64),) if keep_ids else ()))
-                        offset += n
-                columns = [x.split()[0] for x in PIECE_SCHEMA.split(", ")] + ["ids"] * keep_ids
-                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
-
-    schema = PIECE_SCHEMA + (", ids array<bigint>" if keep_ids else "")
-    return spark.read.schema("file int, block bigint, data binary").parquet(folder).mapInPandas(run, schema)
+        rows: list[tuple] = []
+        # What is open: file, number, document, its first block and offset, ids, checksum, whether it began here, last block.
+        held: list | None = None
+
+        def close(last: bool) -> None:
+            nonlocal held
+            file, number, doc, block, offset, n, crc, began, _ = held
+            rows.append((file, number, doc, block, offset, n, crc, began and last))
+            held = None
+
+        def table() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECE_SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+
+        for file, block, data, head, raw in _decoded(batches):
+            offset = 0
+            for i in range(head[3]):
+                doc, number, n, flags, last = struct.unpack_from(PIECE, data, HEAD_BYTES + i * PIECE_BYTES)
+                piece = raw[4 * offset:4 * (offset + n)]
+                if held and not (held[0] == file and held[1] == number and held[8] == block - 1):
+                    close(False)
+                if held:
+                    held[5], held[6], held[8] = held[5] + n, zlib.crc32(piece, held[6]), block
+                else:
+                    held = [file, number, None if flags & 2 else doc, block, offset, n, zlib.crc32(piece), bool(flags & 1), block]
+                offset += n
+                if last:
+                    close(True)
+            if len(rows) >= 10_000:
+                yield table()
+                rows.clear()
+        if held:
+            close(False)
+        yield table()
+
+    return spark.read.schema("file int, block bigint, data binary").parquet(folder).mapInPandas(run, PIECE_SCHEMA)
 
 
 def _times(matrix: Sequence[int], vector: int) -> int:
