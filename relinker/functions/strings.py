@@ -5,7 +5,6 @@ Each helper sees only the candidate pairs that survived the joins in ``operators
 from __future__ import annotations
 
 import sys
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -17,8 +16,110 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def ratcliff_ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+# Cells of the tables that a batch of string pairs is matched in.
+MATCH_CELLS = 1 << 17
+# In a second string of this length or more, characters in over 1% of the places (and one more) start no block.
+LONG, RARE_PER = 200, 100
+
+
+def _codes(texts: list[str], fill: int) -> np.ndarray:
+    """Code points of the strings, one row each, filled up."""
+    out = np.full((len(texts), max(map(len, texts), default=0)), fill, np.int32)
+    for i, text in enumerate(texts):
+        out[i, :len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
+
+
+def _window(codes: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray, fill) -> np.ndarray:
+    place = low[:, None] + np.arange(int((high - low).max()))
+    cut = codes[row[:, None], np.minimum(place, codes.shape[1] - 1)]
+    cut[place >= high[:, None]] = fill
+    return cut
+
+
+def _longest_blocks(a: np.ndarray, b: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start in a, start in b and length of the first longest common run of each row; rows come highest first.
+
+    One step takes the next character of every row of a: a run that ends at a place of b is one longer than the run that ended
+    a place before.
+    """
+    n, width = b.shape
+    runs = np.zeros((n, width + 1), np.int32)
+    size, at_a, at_b = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(a.shape[1]):
+        k = int(np.searchsorted(-heights, -i, side="left"))
+        new = (runs[:k, :-1] + 1) * (b[:k] == a[:k, i, None])
+        runs[:k, 1:] = new
+        end = new.argmax(axis=1)
+        length = new[np.arange(k), end]
+        better = np.flatnonzero(length > size[:k])
+        size[better] = length[better]
+        at_a[better], at_b[better] = i - length[better] + 1, end[better] - length[better] + 1
+    return at_a, at_b, size
+
+
+def _matched(a_texts: list[str], b_texts: list[str]) -> np.ndarray:
+    """Characters in the matching blocks of each pair: the longest common block, then the same on both sides of it.
+
+    All open stretches of all pairs are searched together, round by round.
+    """
+    a, b = _codes(a_texts, -1), _codes(b_texts, -2)
+    starts = b.copy()
+    for i, text in enumerate(b_texts):
+        if len(text) >= LONG:
+            seen, at, count = np.unique(b[i, :len(text)], return_inverse=True, return_counts=True)
+            starts[i, :len(text)][(count > len(text) // RARE_PER + 1)[at]] = -2
+    frequent = bool((starts != b).any())
+    out = np.zeros(len(a_texts), np.int64)
+    row = np.arange(len(a_texts))
+    low_a, low_b = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    high_a, high_b = np.array([len(x) for x in a_texts]), np.array([len(x) for x in b_texts])
+    while True:
+        order = np.argsort(low_a - high_a, kind="stable")
+        order = order[((low_a < high_a) & (low_b < high_b))[order]]
+        if not len(order):
+            return out
+        row, low_a, high_a, low_b, high_b = (x[order] for x in (row, low_a, high_a, low_b, high_b))
+        at_a, at_b, size = _longest_blocks(
+            _window(a, row, low_a, high_a, -1), _window(starts, row, low_b, high_b, -2), high_a - low_a)
+        at_a, at_b = low_a + at_a, low_b + at_b
+        if frequent:
+            # A block goes on over characters that start none.
+            for step in (-1, 1):
+                open_rows = np.arange(len(row))
+                while len(open_rows):
+                    x = at_a[open_rows] - 1 if step < 0 else at_a[open_rows] + size[open_rows]
+                    y = at_b[open_rows] - 1 if step < 0 else at_b[open_rows] + size[open_rows]
+                    inside = (x >= low_a[open_rows]) & (x < high_a[open_rows]) & (y >= low_b[open_rows]) & (y < high_b[open_rows])
+                    open_rows, x, y = open_rows[inside], x[inside], y[inside]
+                    open_rows = open_rows[a[row[open_rows], x] == b[row[open_rows], y]]
+                    size[open_rows] += 1
+                    if step < 0:
+                        at_a[open_rows] -= 1
+                        at_b[open_rows] -= 1
+        np.add.at(out, row, size)
+        hit = size > 0
+        row, size, at_a, at_b, low_a, high_a, low_b, high_b = (x[hit] for x in (row, size, at_a, at_b, low_a, high_a, low_b, high_b))
+        row = np.concatenate([row, row])
+        low_a, high_a = np.concatenate([low_a, at_a + size]), np.concatenate([at_a, high_a])
+        low_b, high_b = np.concatenate([low_b, at_b + size]), np.concatenate([at_b, high_b])
+
+
+def ratcliff_ratios(a: list, b: list) -> np.ndarray:
+    """Ratcliff/Obershelp ratio of each pair: twice the characters in matching blocks by those of both strings; 1 for two empty ones."""
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
+    matched = np.zeros(len(total), np.int64)
+    # Pairs of about one length share a batch, so little of it is filling.
+    order = np.argsort(total, kind="stable")
+    start = 0
+    while start < len(order):
+        stop = min(len(order), start + MATCH_CELLS)
+        while stop > start + 1 and (stop - start) * int(total[order[stop - 1]]) > MATCH_CELLS:
+            stop = start + (stop - start) // 2
+        some = order[start:stop]
+        matched[some] = _matched([a[i] for i in some], [b[i] for i in some])
+        start = stop
+    return np.where(total > 0, 2.0 * matched / np.maximum(total, 1), 1.0)
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -74,21 +175,15 @@ def jaro_winkler(a: str, b: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def ratcliff_column(q: pd.Series, t: pd.Series) -> pd.Series:
-    return pd.Series([ratcliff_ratio(a, b) for a, b in zip(q, t)], dtype="float64")
+    return pd.Series(ratcliff_ratios(q.tolist(), t.tolist()), dtype="float64")
 
 
 def ratcliff_grid(a: list, b: list) -> np.ndarray:
-    """Ratio of every string of a with every string of b; what is known of a string of b serves all of a."""
+    """Ratio of every string of a with every string of b."""
     a_at, a_texts = pd.factorize(np.asarray(a, dtype=object))
     b_at, b_texts = pd.factorize(np.asarray(b, dtype=object))
-    grid = np.empty((len(a_texts), len(b_texts)))
-    matcher = SequenceMatcher(None)
-    for j, t in enumerate(b_texts):
-        matcher.set_seq2(t)
-        for i, q in enumerate(a_texts):
-            matcher.set_seq1(q)
-            grid[i, j] = matcher.ratio()
-    return grid[np.ix_(a_at, b_at)]
+    grid = ratcliff_ratios(np.repeat(a_texts, len(b_texts)).tolist(), np.tile(b_texts, len(a_texts)).tolist())
+    return grid.reshape(len(a_texts), len(b_texts))[np.ix_(a_at, b_at)]
 
 
 def contained_grid(a: list, b: list) -> np.ndarray:
@@ -159,8 +254,7 @@ def _above(q: pd.Series, t: pd.Series, floor: pd.Series, bound, score) -> pd.Ser
     a, b = q.str.len().to_numpy(), t.str.len().to_numpy()
     reachable = bound(shared_characters(q, t), a, b) >= floor.to_numpy() - 1e-9
     out = np.full(len(q), -1.0)
-    for i in np.flatnonzero(reachable):
-        out[i] = score(q.iat[i], t.iat[i])
+    out[reachable] = score(q[reachable].tolist(), t[reachable].tolist())
     return pd.Series(out)
 
 
@@ -175,12 +269,12 @@ def _jaro_winkler_bound(m, a, b):
 
 @F.pandas_udf(DoubleType())
 def ratcliff_above(q: pd.Series, t: pd.Series, floor: pd.Series) -> pd.Series:
-    return _above(q, t, floor, _ratio_bound, ratcliff_ratio)
+    return _above(q, t, floor, _ratio_bound, ratcliff_ratios)
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler_above(q: pd.Series, t: pd.Series, floor: pd.Series) -> pd.Series:
-    return _above(q, t, floor, _jaro_winkler_bound, lambda a, b: round(jaro_winkler(a, b), 9))
+    return _above(q, t, floor, _jaro_winkler_bound, lambda a, b: [round(jaro_winkler(x, y), 9) for x, y in zip(a, b)])
 
 
 @F.pandas_udf(DoubleType())

@@ -224,3 +224,19 @@ def test_no_cross_join_in_a_matcher_plan(tables):
     for name in ("jaccard", "levenshtein", "fuzzy"):
         plan = getattr(matchers, name)(*tables)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_matching_blocks_are_those_of_the_standard_library():
+    rng = random.Random(3)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("x" * 250, "x" * 250), ("ab" * 150, "ba" * 130), ("/a/" + "x" * 300, "/a/" + "x" * 299 + "y")]
+    for i in range(10_000):
+        letters = rng.choice(["ab", "abc/", "abcdefghij/-.", "aé🙂\ud800"])
+        longest = 260 if i % 10 == 0 else 50
+        a = "".join(rng.choices(letters, k=rng.randint(0, longest)))
+        b = list(a) if rng.random() < 0.6 else rng.choices(letters, k=rng.randint(0, longest))
+        for _ in range(rng.randint(0, 10) if b else 0):
+            b[rng.randrange(len(b))] = rng.choice(letters)
+        pairs.append((a, "".join(b)))
+    got = strings.ratcliff_ratios(*map(list, zip(*pairs)))
+    assert got.tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert len(strings.ratcliff_ratios([], [])) == 0
