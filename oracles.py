@@ -114,6 +114,32 @@ fuzzy_votes AS MATERIALIZED (
 """
 
 
+# Matching blocks of strings of less than 200 characters: the longest common run of a stretch of both, then the stretches on both
+# sides of it. Runs are islands on a diagonal. Wants rp(a, b), distinct pairs; gives ratcliff(a, b, ratio).
+RATCLIFF_STEPS = """
+rchar AS (
+  SELECT t, i, t[i] AS ch FROM (
+    SELECT t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT a AS t FROM rp UNION SELECT b FROM rp))),
+stretch AS (
+  SELECT a, b, 1::BIGINT AS la, length(a) AS ha, 1::BIGINT AS lb, length(b) AS hb, 0::BIGINT AS size FROM rp
+  UNION ALL
+  SELECT a, b, CASE side WHEN 0 THEN la ELSE best.n - best.i END, CASE side WHEN 0 THEN -best.i - 1 ELSE ha END,
+    CASE side WHEN 0 THEN lb ELSE best.n - best.j END, CASE side WHEN 0 THEN -best.j - 1 ELSE hb END, side * best.n
+  FROM (
+    SELECT a, b, la, ha, lb, hb, max({'n': n, 'i': -i, 'j': -j}) AS best FROM (
+      SELECT a, b, la, ha, lb, hb, count(*) AS n, min(i) AS i, min(j) AS j FROM (
+        SELECT a, b, la, ha, lb, hb, i, j, i - row_number() OVER (PARTITION BY a, b, la, lb, j - i ORDER BY i) AS island FROM (
+          SELECT s.a, s.b, s.la, s.ha, s.lb, s.hb, x.i, y.i AS j
+          FROM stretch s JOIN rchar x ON x.t = s.a AND x.i BETWEEN s.la AND s.ha
+          JOIN rchar y ON y.t = s.b AND y.ch = x.ch AND y.i BETWEEN s.lb AND s.hb))
+      GROUP BY a, b, la, ha, lb, hb, j - i, island)
+    GROUP BY a, b, la, ha, lb, hb) CROSS JOIN (VALUES (0), (1)) sides(side)),
+ratcliff AS (
+  SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1 ELSE 2 * sum(size)::DOUBLE / (length(a) + length(b)) END AS ratio
+  FROM stretch GROUP BY a, b)
+"""
+
+
 def _grams(source: str, key: str, low: int, high: int) -> str:
     sizes = ", ".join(str(n) for n in range(low, high + 1))
     return f"""SELECT {key}, gram, count(*) AS tf FROM (
@@ -237,7 +263,7 @@ queue AS (
   SELECT url_404, row_number() OVER (PARTITION BY url_404 ORDER BY rank) AS option_no, option_url, is_parent FROM options)
 """
 
-FEATURE_PAIRS = f"""
+FEATURE_TABLES = f"""
 {PARTS}, {CHECKS}, g AS ({_grams("urls", "url", 2, 4)}),
 fp AS (
   SELECT DISTINCT p.url AS url_404, t.url AS live_url
@@ -251,8 +277,9 @@ sim AS (
   SELECT url_404, live_url, sum(a.w * b.w / (na.norm * nb.norm)) AS s
   FROM fp JOIN w a ON a.url = fp.url_404 JOIN w b ON b.url = fp.live_url AND b.gram = a.gram
   JOIN nrm na ON na.url = fp.url_404 JOIN nrm nb ON nb.url = fp.live_url GROUP BY 1, 2),
-f AS (SELECT url, host, {SEGMENTS} AS seg, {EXTENSION} AS ext, {NAMES} AS names FROM parts)
-SELECT fp.url_404, fp.live_url,
+f AS (SELECT url, host, path, {SEGMENTS} AS seg, {EXTENSION} AS ext, {NAMES} AS names FROM parts)
+"""
+FEATURE_COLUMNS = """fp.url_404, fp.live_url,
   round(CASE WHEN len(a.seg) > 0 AND len(b.seg) > 0
     THEN len(list_filter(a.seg, lambda s: list_contains(b.seg, s)))::DOUBLE / greatest(len(a.seg), len(b.seg)) ELSE 0 END, 6)
     AS segment_match_ratio,
@@ -260,9 +287,14 @@ SELECT fp.url_404, fp.live_url,
   CASE WHEN a.ext <> '' AND a.ext = b.ext THEN 1::DOUBLE ELSE 0::DOUBLE END AS ext_match,
   round(len(list_intersect(a.names, b.names))::DOUBLE / greatest(len(list_distinct(list_concat(a.names, b.names))), 1), 6) AS param_overlap,
   CASE WHEN a.host = b.host THEN 1::DOUBLE ELSE 0::DOUBLE END AS domain_match,
-  round(round(coalesce(s, 0), 9), 6) AS tfidf_similarity
-FROM fp JOIN f a ON a.url = fp.url_404 JOIN f b ON b.url = fp.live_url LEFT JOIN sim USING (url_404, live_url)
-"""
+  round(round(coalesce(s, 0), 9), 6) AS tfidf_similarity"""
+FEATURE_JOINS = """fp JOIN f a ON a.url = fp.url_404 JOIN f b ON b.url = fp.live_url LEFT JOIN sim USING (url_404, live_url)"""
+FEATURE_PAIRS = f"{FEATURE_TABLES} SELECT {FEATURE_COLUMNS} FROM {FEATURE_JOINS}"
+ALL_FEATURE_PAIRS = f"""{FEATURE_TABLES},
+rp AS (SELECT DISTINCT a.path AS a, b.path AS b FROM fp JOIN f a ON a.url = fp.url_404 JOIN f b ON b.url = fp.live_url), {RATCLIFF_STEPS}
+SELECT {FEATURE_COLUMNS}, round(ratio, 6) AS path_similarity
+FROM {FEATURE_JOINS} JOIN ratcliff r ON r.a = a.path AND r.b = b.path"""
+
 
 RETENTION = f"""
 {HISTORY},
@@ -336,6 +368,9 @@ def oracle_sql() -> dict[str, str]:
     q["match_hamming"] = f"WITH {SPLIT}, {HAMMING} {ROUND_VOTES} hamming_votes"
     q["match_levenshtein"] = f"WITH {SPLIT}, {LEVENSHTEIN} {ROUND_VOTES} levenshtein_votes"
     q["match_jaro_winkler"] = f"WITH {SPLIT}, {JARO} {ROUND_VOTES} jaro_winkler_votes"
+    q["match_ratcliff"] = f"""WITH RECURSIVE {SPLIT}, rp AS (SELECT DISTINCT url AS a, live_url AS b FROM pairs), {RATCLIFF_STEPS}, {_winner(
+        "ratcliff", "SELECT url, live_url, live_idx, ratio AS score FROM pairs JOIN ratcliff ON a = url AND b = live_url")}
+      {ROUND_VOTES} ratcliff_votes"""
     q["match_fuzzy"] = f"WITH RECURSIVE {SPLIT}, {FUZZY_STEPS} {ROUND_VOTES} fuzzy_votes"
     q["match_tfidf"] = f"WITH {SPLIT}, {TFIDF}, {VECTOR_VOTES} {ROUND_VOTES} vector_votes"
     q["match_token_vectors"] = f"WITH {SPLIT}, {TOKEN_VECTORS}, {SPACY_VOTES} {ROUND_VOTES} spacy_votes"
@@ -387,6 +422,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT url_404, manual_url FROM verdicts WHERE lower(choice) = 'm' AND manual_url IN (SELECT url FROM live)"""
 
     q["pair_features"] = f"WITH {FEATURE_PAIRS}"
+    q["pair_features_all"] = f"WITH RECURSIVE {ALL_FEATURE_PAIRS}"
     q["training_rows"] = f"""WITH RECURSIVE {VOTES}, {HISTORY}
       SELECT url_404, redirect_url AS live_url, 1 AS label, 10::DOUBLE AS weight, 1 AS copies, 'human' AS source
       FROM hist WHERE source = 'human'
@@ -411,10 +447,10 @@ def oracle_sql() -> dict[str, str]:
       SELECT timestamp, url_404, redirect_url, agreement_score,
         round(CASE agreement_score WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 1e9 WHEN 2 THEN -1e9 WHEN 3 THEN 0::DOUBLE ELSE total_score END, 6)
           AS total_score FROM hist"""
-    scaled = ("segment_match_ratio", "len_ratio", "ext_match", "param_overlap", "domain_match", "tfidf_similarity")
+    scaled = ("path_similarity", "segment_match_ratio", "len_ratio", "ext_match", "param_overlap", "domain_match", "tfidf_similarity")
     q["scaled_features"] = f"""SELECT url_404, live_url, {", ".join(
         f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0), 4) AS {c}" for c in scaled)}
-      FROM (WITH {FEATURE_PAIRS})"""
+      FROM (WITH RECURSIVE {ALL_FEATURE_PAIRS})"""
     q["history_human_rows"] = f"""WITH {HISTORY}
       SELECT {RUN_AT} AS timestamp, url_404, redirect_url, 999::BIGINT AS agreement_score, 999::DOUBLE AS total_score,
         'human' AS algorithm, true AS is_best_match, 'human' AS source FROM hist WHERE url_404 <> '' AND redirect_url <> ''"""
