@@ -15,8 +15,9 @@ QUERY_EVERY = 100
 PARTS = 2
 GROUP_ROWS = 4096
 QUERY_ROWS = 512
-#: Scaled components are held to this size, so that scores stay exact integers.
-LARGEST = 1 << 26
+#: Scaled components are held to this size, partial and whole scores to ``LARGEST_SCORE``; all below is exact.
+LARGEST = 1 << 53
+LARGEST_SCORE = 1 << 61
 
 
 def usable(embedding: Column | str) -> Column:
@@ -27,7 +28,8 @@ def usable(embedding: Column | str) -> Column:
 
 def scaled(embedding: Column | str) -> Column:
     e = F.col(embedding) if isinstance(embedding, str) else embedding
-    return F.transform(e, lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(x.cast("double") * SCALE))).cast("bigint"))
+    most = F.lit(float(LARGEST))
+    return F.transform(e, lambda x: F.floor(F.greatest(-most, F.least(most, x.cast("double") * SCALE))).cast("bigint"))
 
 
 def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
@@ -51,7 +53,14 @@ def _products(a: pd.Series, b: pd.Series) -> np.ndarray:
     bound = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(width, 1)
     if bound < 2.0**53:
         return (x.astype(np.float64) @ y.T.astype(np.float64)).astype(np.int64)
-    return x @ y.T
+    out = x @ y.T
+    if bound >= LARGEST_SCORE:
+        # Sums that may not fit in 64 bits, one by one in whole numbers of any length.
+        wide = np.abs(x).astype(np.float64) @ np.abs(y).astype(np.float64).T >= LARGEST_SCORE / 2
+        for i, j in np.argwhere(wide):
+            exact = sum(int(p) * int(q) for p, q in zip(x[i], y[j]))
+            out[i, j] = max(-LARGEST_SCORE, min(LARGEST_SCORE, exact))
+    return out
 
 
 def _local_lists(k: int):
@@ -94,9 +103,17 @@ def exact_scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> Da
     """Adds the whole score to (query_id, rep)."""
     zero = F.lit(0).cast("bigint")
     product = F.aggregate(F.zip_with("code", "query", lambda x, y: F.coalesce(x * y, zero)), zero, lambda s, x: s + x)
+    # Sums that may not fit in 64 bits pass through decimals of 38 digits.
+    wide, least, most = "decimal(38,0)", F.lit(-LARGEST_SCORE), F.lit(LARGEST_SCORE)
+    exact = F.aggregate(
+        F.zip_with("code", "query", lambda x, y: F.coalesce((x.cast("decimal(18,0)") * y.cast("decimal(18,0)")).cast(wide), zero.cast(wide))),
+        zero.cast(wide), lambda s, x: (s + x).cast(wide))
+    size = lambda c: F.coalesce(F.array_max(F.transform(c, F.abs)), zero).cast("double")
+    fits = size("code") * size("query") * F.greatest(F.size("code"), F.lit(1)) < float(LARGEST_SCORE)
+    score = F.when(fits, product).otherwise(F.greatest(least, F.least(most, exact)).cast("bigint"))
     return (
         pairs.join(vectors.select("rep", "code"), "rep").join(queries.select("query_id", F.col("code").alias("query")), "query_id")
-        .select("query_id", "rep", product.alias("score")))
+        .select("query_id", "rep", score.alias("score")))
 
 
 def top(frame: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -108,8 +125,8 @@ def search(table: DataFrame, results: int = RESULTS, every: int = QUERY_EVERY, p
 
     Scores are inner products of floor(SCALE * component); ties go to the smaller vec_id. A vector that is null or holds
     null or non-finite components takes no part, nor does a row without vec_id; vectors of other lengths count as ending
-    in zeros; rows equal in id and vector are one, a query never meets rows of its own id; components beyond 65,536 count as
-    that; fewer candidates give fewer results, an empty table none. Other columns are ignored.
+    in zeros; rows equal in id and vector are one, a query never meets rows of its own id; components beyond 2^43
+    and scores (or a list's part of them) beyond 2^61 count as that, all others are exact; fewer candidates give fewer results, an empty table none. Other columns are ignored.
 
     The components of all vectors are cut into ``parts`` lists of partial scores, each held in groups of rows. Phase one
     gathers every list's best entries; their whole scores give a cutoff that k vectors reach, so it is safe. Phase two hands

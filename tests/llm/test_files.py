@@ -51,6 +51,18 @@ def test_topk_against_all_scores(spark, parts, monkeypatch):
     assert got == brute_top(ids, np.floor(1024 * x.astype(float)).astype(np.int64), 20, 10)
 
 
+def test_topk_of_large_components(spark):
+    rows = vector_rows(spark, [[1.0, 1.0], [70000, 0], [90000, 0], [1e9, 1], [1e9, -1], [3e38, -3e38], [-1e12, 0]])
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.search(rows, every=7).orderBy("rank").collect()]
+    assert got == [(0, 3, 1024**2 * (10**9 + 1)), (0, 4, 1024**2 * (10**9 - 1)), (0, 2, 94_371_840_000), (0, 1, 73_400_320_000),
+                   (0, 5, 0), (0, 6, -1024**2 * 999_999_995_904)]
+    # Products of two large vectors do not fit in 64 bits and count as the bound.
+    both = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search(rows, every=1).collect()}
+    assert both[3, 4] == both[4, 3] == both[3, 5] == 1 << 61
+    assert both[6, 5] == -(1 << 61)
+    assert both[1, 2] == 70000 * 90000 * 1024**2
+
+
 def test_topk_on_unusual_rows(spark):
     rows = topk.search(unusual(spark), every=2).collect()
     got = {}
