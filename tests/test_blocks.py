@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from relinker.functions import blocks as found_in, strings
-from relinker.operators import blocks
+from relinker.operators import blocks, vectors
 
 from test_matchers import hamming, longest_common
 
@@ -83,3 +83,47 @@ def test_ties_in_blocks_go_to_the_first_position(spark, monkeypatch):
         [("abd", None, "z"), ("abe", 7, "y"), ("abf", 5, "x"), ("abg", 6, "w"), (None, 1, "v")], "t string, live_idx bigint, live_url string")
     for name in BRUTE:
         assert [tuple(r)[2:] for r in blocks.best_strings(queries, targets, name).collect()] == [(5, "x")], name
+
+
+def test_nearest_directions():
+    rng = np.random.default_rng(3)
+    queries, targets = rng.normal(size=(70, 5)), rng.normal(size=(90, 5))
+    queries[3], targets[7] = -targets.sum(axis=0), targets[4]
+    targets[8, 2] = np.nan
+    queries[4] = targets[7]
+    score, place = found_in.nearest_directions(list(map(list, queries)), list(targets))
+    for i, q in enumerate(queries):
+        products = [round(float(q @ t), 9) if np.isfinite(t).all() else 0 for t in targets]
+        best = max(range(len(targets)), key=lambda k: (products[k], -k))
+        assert score[i] == pytest.approx(max(products[best], 0), abs=2e-9)
+        assert place[i] == (best if products[best] > 0 else -1)
+
+
+def test_token_vectors_copy_no_row_to_every_pair(spark, monkeypatch):
+    """Cells of a grid hold all of these, as all are about as far apart."""
+    rows = {}
+    plain = blocks.pick_best
+    monkeypatch.setattr(blocks, "pick_best", lambda df: plain(rows.setdefault("found", df)))
+    rng = random.Random(4)
+    given = spark.createDataFrame([(f"t{i}", [rng.gauss(0, 1) for _ in range(16)]) for i in range(160)], "token string, vector array<double>")
+    broken = spark.createDataFrame([(f"t{i}/t{i + 1}", i) for i in range(60)], "url string, idx bigint")
+    live = spark.createDataFrame([(f"t{i}/t{i + 1}/t{i + 2}", i) for i in range(100)], "url string, live_idx bigint")
+    got = {r["url_404"]: r["match_idx"] for r in vectors.token_vector_match(broken, live, given).collect()}
+    assert len(got) == 60 and rows["found"].count() == 60
+
+
+def test_blocks_of_queries_follow_the_cores(spark, monkeypatch):
+    """Each block of queries copies all targets: their number must not grow with the partitions of a shuffle."""
+    counts = {}
+    plain = blocks.spread
+    monkeypatch.setattr(blocks, "spread", lambda df, *keys, **more: (counts.setdefault("left", df), plain(df, *keys, **more))[1])
+    queries = spark.createDataFrame([(f"http://a.org/{i}/x",) for i in range(3000)], "q string")
+    targets = spark.createDataFrame([(f"http://a.org/{i}/y", i, f"u{i}") for i in range(20)], "t string, live_idx bigint, live_url string")
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        blocks.best_strings(queries, targets, "hamming")
+        assert counts["left"].count() <= blocks.PAIR_TASKS * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
