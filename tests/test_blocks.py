@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from relinker.functions import blocks as found_in, strings
 from relinker.operators import blocks, vectors
@@ -127,3 +128,11 @@ def test_blocks_of_queries_follow_the_cores(spark, monkeypatch):
         assert counts["left"].count() <= blocks.PAIR_TASKS * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_blocks_travel_after_a_ratio_was_a_column(spark):
+    """A function that has been used holds the session, and must not travel with the helpers."""
+    assert spark.range(1).select(strings.ratcliff_column(F.lit("ab"), F.lit("ab"))).first()[0] == 1.0
+    queries = spark.createDataFrame([("abc",)], "q string")
+    targets = spark.createDataFrame([("abd", 1, "x")], "t string, live_idx bigint, live_url string")
+    assert blocks.best_strings(queries, targets, "hamming").first()["live_idx"] == 1

@@ -175,6 +175,15 @@ def test_model_learns_saves_and_loads(spark, tmp_path):
     assert model.model_stats(tables.empty_history(spark), None).first()["model_features"] == 0
 
 
+def test_one_live_url_of_a_cell_leaves_a_block(spark):
+    """Of live URLs that the model cannot tell apart the first leaves; a row for each pair left before."""
+    idf = spark.createDataFrame([("/a", 1.0)], "gram string, idf double")
+    broken = spark.createDataFrame([(f"http://a.org/a{i}",) for i in range(40)], "url string")
+    live = spark.createDataFrame([(f"http://{'ab'[i % 2]}.org/a{i}", 90 - i) for i in range(90)], "url string, live_idx bigint")
+    by_host = features.all_pair_features(broken, live, idf, lambda found: found["domain_match"].astype(int))
+    assert {(r["live_idx"], r["domain_match"]) for r in by_host.collect()} == {(1, 0.0), (2, 1.0)} and by_host.count() == 80
+
+
 def test_model_votes_for_the_best_of_all_live_urls(spark):
     shown = [f"https://h{i % 7}.com/en/item-{i}.html" for i in range(60)]
     rows = [(u, u.replace("item", "items"), 1, 1.0, 1, "auto") for u in shown]
