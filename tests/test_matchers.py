@@ -240,3 +240,15 @@ def test_matching_blocks_are_those_of_the_standard_library():
     got = strings.ratcliff_ratios(*map(list, zip(*pairs)))
     assert got.tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
     assert len(strings.ratcliff_ratios([], [])) == 0
+
+
+def test_grams_of_few_urls_are_counted_by_all_tasks(spark):
+    """A small table of URLs is one partition; its n-grams are many."""
+    texts = [f"http://a.org/AbAb  {i}/aaa" for i in range(300)] + ["", "x"]
+    docs = spark.createDataFrame([(u, i) for i, u in enumerate(texts)] + [(None, 999)], "url string, idx bigint").coalesce(1)
+    counts = vectors.gram_counts(docs, "idx", 2, 4)
+    got = {(r["idx"], r["gram"]): r["tf"] for r in counts.collect()}
+    low = [" ".join(u.lower().split("  ")) for u in texts]
+    want = Counter((i, u[k:k + n]) for i, u in enumerate(low) for n in (2, 3, 4) for k in range(len(u) - n + 1))
+    assert got == want
+    assert counts.select(F.spark_partition_id()).distinct().count() > 1
