@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relinker.functions import blocks as found_in, strings
-from relinker.operators import blocks, vectors
+from relinker.operators import blocks, matchers, vectors
 
 from test_matchers import hamming, longest_common
 
@@ -136,3 +136,83 @@ def test_blocks_travel_after_a_ratio_was_a_column(spark):
     queries = spark.createDataFrame([("abc",)], "q string")
     targets = spark.createDataFrame([("abd", 1, "x")], "t string, live_idx bigint, live_url string")
     assert blocks.best_strings(queries, targets, "hamming").first()["live_idx"] == 1
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def test_nearest_edits_of_a_block(monkeypatch):
+    """Words of bits carry from one to the next: strings of up to 210 characters beside short ones."""
+    rng = random.Random(7)
+    for letters in LETTERS:
+        for longest in (3, 20, 66, 140):
+            monkeypatch.setattr(found_in, "STRIP_CELLS", rng.choice([200, 1 << 21]))
+            monkeypatch.setattr(found_in, "PAIRS", rng.choice([7, 1 << 14]))
+            queries, targets = texts(rng, letters, longest, 12), texts(rng, letters, longest, 40)
+            near = ["".join(c for c in t if rng.random() < 0.9) + "b" for t in targets[:4]]
+            queries = list(dict.fromkeys([*queries, *near, *targets[:3], "zzz", "x" * 64, "x" * 65, "x" * 128]))
+            rng.shuffle(targets)
+            score, place = found_in.nearest("levenshtein", queries, targets)
+            for i, q in enumerate(queries):
+                filled = [k for k, t in enumerate(targets) if bool(t) == bool(q)]
+                if not filled:
+                    assert place[i] == -1
+                    continue
+                best = min(filled, key=lambda k: (edits(q, targets[k]), k)) if q else filled[0]
+                assert (found_in.FAR - score[i], place[i]) == (edits(q, targets[best]), best), (q, targets[best])
+
+
+@pytest.mark.parametrize("alpha, beta", [(1.0, 1.0), (0.5, 0.5), (0.0, 1.0), (3.0, 0.1), (0.0, 0.0)])
+def test_nearest_sets_of_a_block(monkeypatch, alpha, beta):
+    rng = random.Random(8)
+    for letters in LETTERS:
+        monkeypatch.setattr(found_in, "DENSE", rng.choice([0, 3, 128]))
+        queries, targets = texts(rng, letters, 20, 70), texts(rng, letters, 20, 50)
+        score, place = found_in.nearest_sets(queries, targets, alpha, beta)
+        for i, q in enumerate(queries):
+            scores = []
+            for t in targets:
+                a, b, c = len(set(q)), len(set(t)), len(set(q) & set(t))
+                below = c + alpha * (a - c) + beta * (b - c)
+                scores.append(c / below if below > 0 else 0.0)
+            best = max(range(len(targets)), key=lambda k: (scores[k], -k))
+            assert (score[i], place[i]) == ((scores[best], best) if scores[best] > 0 else (0, -1)), (q, targets[best])
+
+
+@pytest.mark.parametrize("name", ["levenshtein", "jaccard", "tversky"])
+def test_no_near_pair_leaves_two_blocks(spark, monkeypatch, name):
+    """Nearly all of these are near one another: a join on what they share would make a row of every pair."""
+    monkeypatch.setattr(blocks, "TARGET_BLOCK", 100)
+    rows = []
+    plain = blocks.pick_best
+    monkeypatch.setattr(blocks, "pick_best", lambda df: (rows.append(df), plain(df))[1])
+    broken = spark.createDataFrame([(f"http://a.org/{i:03}/x", i) for i in range(60)], "url string, idx bigint")
+    live = spark.createDataFrame([(f"http://a.org/{i:03}/y", i) for i in range(400)], "url string, live_idx bigint")
+    got = {r["url_404"]: r["match_idx"] for r in getattr(matchers, name)(broken, live).collect()}
+    assert len(got) == 60 and rows[0].count() <= 60 * 4
+    if name == "levenshtein":
+        assert got == {f"http://a.org/{i:03}/x": i for i in range(60)}
+
+
+def test_blocks_of_vectors_are_not_copied(spark, monkeypatch):
+    """Copies of a block for each block of the other side grow with the product of both sides."""
+    monkeypatch.setattr(blocks, "TARGET_BLOCK", 50)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 20)
+    held = []
+    plain = blocks.settle
+    monkeypatch.setattr(blocks, "settle", lambda df: (held.append(plain(df)), held[-1])[1])
+    rng = random.Random(5)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(8)]
+    queries = spark.createDataFrame([(f"q{i}", vector()) for i in range(100)], "q string, v array<double>")
+    targets = spark.createDataFrame([(f"t{i}", i, f"u{i}", vector()) for i in range(300)], "t string, live_idx bigint, live_url string, v array<double>")
+    assert blocks.best_directions(queries, targets).count() == 100
+    left, right = [df for df in held if df.columns[0].startswith("slice_")]
+    assert sum(len(r["query_q"]) for r in left.collect()) == 100 and sum(len(r["target_t"]) for r in right.collect()) == 300
+    assert 1 < left.count() == left.rdd.getNumPartitions() and 1 < right.count() == right.rdd.getNumPartitions()
