@@ -216,3 +216,19 @@ def test_blocks_of_vectors_are_not_copied(spark, monkeypatch):
     left, right = [df for df in held if df.columns[0].startswith("slice_")]
     assert sum(len(r["query_q"]) for r in left.collect()) == 100 and sum(len(r["target_t"]) for r in right.collect()) == 300
     assert 1 < left.count() == left.rdd.getNumPartitions() and 1 < right.count() == right.rdd.getNumPartitions()
+
+
+def test_tasks_follow_the_blocks(spark, monkeypatch):
+    """A few blocks must not start as many tasks as a shuffle has partitions."""
+    made = []
+    spread = blocks.spread
+    monkeypatch.setattr(blocks, "spread", lambda df, *keys, **more: (made.append(spread(df, *keys, **more)), made[-1])[1])
+    queries = spark.createDataFrame([(f"http://a.org/{i}/x",) for i in range(30)], "q string")
+    targets = spark.createDataFrame([(f"http://a.org/{i}/y", i, f"u{i}") for i in range(20)], "t string, live_idx bigint, live_url string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        blocks.best_strings(queries, targets, "hamming")
+        assert [df.rdd.getNumPartitions() for df in made] == [blocks.PAIR_TASKS] * 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
