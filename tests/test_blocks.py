@@ -232,3 +232,40 @@ def test_tasks_follow_the_blocks(spark, monkeypatch):
         assert [df.rdd.getNumPartitions() for df in made] == [blocks.PAIR_TASKS] * 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_vectors_of_texts_are_those_of_their_words(monkeypatch):
+    rng = random.Random(8)
+    made = [x for letters in LETTERS for x in texts(rng, letters, 9, 20)]
+    grams = lambda x: [x[i:i + n] for n in (2, 3) for i in range(len(x) - n + 1)]
+    idf = {g: rng.uniform(1, 3) for x in made for g in grams(x) if rng.random() < 0.6}
+    terms, weights = found_in.unit_terms(made, list(idf), list(idf.values()), 2, 3)
+    for x, own, w in zip(made, terms, weights, strict=True):
+        want = {g: grams(x).count(g) * idf[g] for g in {*grams(x)} & {*idf}}
+        length = sum(v * v for v in want.values()) ** 0.5
+        assert len(own) == len({*own.tolist()}) and np.allclose(sorted(w), sorted(v / length for v in want.values()))
+    words = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("b", [0.0, 3.0]), ("z", [0.0, 0.0])]
+    got = found_in.unit_means(["a a b", "b c", "", "z", "c"], [w for w, _ in words], [v for _, v in words])
+    assert np.allclose(got, [[2 / 20 ** 0.5, 4 / 20 ** 0.5], [0, 1], [0, 0], [0, 0], [0, 0]])
+
+
+def test_vectors_do_not_move_with_every_row(spark, monkeypatch):
+    """What is known of a word moves to a block once, not with each row of the block that has the word, and blocks of both sides are written once."""
+    monkeypatch.setattr(blocks, "TARGET_BLOCK", 50)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 20)
+    held = []
+    plain = blocks.settle
+    monkeypatch.setattr(blocks, "settle", lambda df: (held.append(plain(df)), held[-1])[1])
+    broken = spark.createDataFrame([(f"com/{i % 7}/{i}x", i) for i in range(60)], "url string, idx bigint")
+    live = spark.createDataFrame([(f"com/{i % 7}/{i}y", i) for i in range(120)], "url string, live_idx bigint")
+    rng = random.Random(2)
+    names = ["com", *map(str, range(7))]
+    given = spark.createDataFrame([(t, [rng.gauss(0, 1) for _ in range(8)]) for t in names], "token string, vector array<float>")
+    got = vectors.token_vector_match(broken, live, given)
+    assert {r["url_404"]: r["match_idx"] for r in got.collect()} == {f"com/{i % 7}/{i}x": i % 7 for i in range(60)}
+    [made] = [df for df in held if "side" in df.columns]
+    rows = made.collect()
+    assert sum(len(r["key"]) for r in rows) == 180 and len(rows) > 4
+    assert all(len({*r["word"]}) == len(r["word"]) == len(r["value"]) <= 8 for r in rows)
+    assert sum(len(r["value"]) for r in rows) < 180
+    assert made.rdd.getNumPartitions() == max(sum(r["side"] == s for r in rows) for s in ("query", "target"))
