@@ -4,6 +4,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
@@ -36,13 +38,17 @@ def through_pandas(df: DataFrame, run: Callable[[Iterator], Iterator], schema: s
     """``mapInPandas`` that hands columns on as they are: whole numbers travel as text.
 
     pandas turns whole numbers into doubles where one of a batch is null, and those beyond 2^53 into others. Columns of the result
-    named as whole-number columns of ``df`` are expected as text, too.
+    named as whole-number columns of ``df`` are expected as text, too. What a task held is returned to the system when it ends.
     """
+    def freed(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
     whole = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, IntegralType)}
     given = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in whole else F.col(f"`{c}`") for c in df.columns])
     out = StructType.fromDDL(schema)
     text = StructType([StructField(f.name, StringType() if f.name in whole else f.dataType) for f in out.fields])
-    found = given.mapInPandas(run, text)
+    found = given.mapInPandas(freed, text)
     return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in whole else F.col(f"`{f.name}`") for f in out.fields])
 
 
@@ -62,6 +68,16 @@ def give_back() -> None:
         pass
 
 
+def portions(batches: Iterator[pd.DataFrame], column: str, characters: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Parts of batches of about so many characters, so that what is made of long texts stays small in memory."""
+    for batch in batches:
+        ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in batch[column]])
+        cut = np.flatnonzero(np.diff(ends // characters)) + 1
+        for a, b in zip([0, *cut], [*cut, len(batch)], strict=True):
+            if b > a:
+                yield batch.iloc[a:b]
+
+
 def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

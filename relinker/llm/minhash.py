@@ -8,7 +8,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from relinker.llm.common import components, settle, through_pandas, written
+from relinker.llm.common import components, portions, settle, through_pandas, written
 
 # Words of a shingle.
 SHINGLE = 5
@@ -58,26 +58,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _portions(batch: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
-    """Parts of a batch of about two million characters, so that hashes of long texts stay few in memory."""
-    ends = batch[column].str.len().cumsum().to_numpy()
-    cut = np.flatnonzero(np.diff(ends // 2_000_000)) + 1
-    for a, b in zip([0, *cut], [*cut, len(batch)], strict=True):
-        if b > a:
-            yield batch.iloc[a:b]
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, first_sum, second_sum, sketch): size of the shingle set, its fingerprint, its ``SKETCH`` least values."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _portions(batch, "text"):
-                sets = shingle_sets(part["text"].tolist())
-                with np.errstate(over="ignore"):
-                    second = [int(_mix(s.view(np.uint64)).sum().astype(np.int64)) for s in sets]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].array, "n": [len(s) for s in sets], "first_sum": [int(s.sum()) for s in sets],
-                    "second_sum": second, "sketch": [s[:SKETCH] for s in sets]})
+        for part in portions(batches, "text"):
+            sets = shingle_sets(part["text"].tolist())
+            with np.errstate(over="ignore"):
+                second = [int(_mix(s.view(np.uint64)).sum().astype(np.int64)) for s in sets]
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"].array, "n": [len(s) for s in sets], "first_sum": [int(s.sum()) for s in sets],
+                "second_sum": second, "sketch": [s[:SKETCH] for s in sets]})
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return through_pandas(slim, run, "doc_id bigint, n bigint, first_sum bigint, second_sum bigint, sketch array<bigint>")
@@ -86,9 +76,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles): the whole shingle sets of the documents in ``ids``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _portions(batch, "text"):
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "shingles": shingle_sets(part["text"].tolist())})
+        for part in portions(batches, "text"):
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "shingles": shingle_sets(part["text"].tolist())})
 
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     return through_pandas(slim.join(ids.select("doc_id"), "doc_id", "left_semi"), run, "doc_id bigint, shingles array<bigint>")

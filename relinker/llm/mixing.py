@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from relinker.llm.common import maybe_broadcast, running_start, settle, word_count, written
+from relinker.llm.common import give_back, maybe_broadcast, portions, running_start, settle, word_count, written
 
 # Weights of the sources in order, repeating; share of all words; most uses of a word.
 WEIGHTS = (3, 1, 2)
@@ -23,6 +23,8 @@ LEAST_BLOCKS = 64
 SHARD_SLOTS = 8192
 BUCKET_ROWS = 2000
 SPLIT = 4096
+# Characters of the texts that are rebuilt at a time.
+PORTION = 1_000_000
 WITH_SPACE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -216,11 +218,12 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     has_length = "n_chars" in docs.columns
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in portions(batches, "text", PORTION):
             batch = batch.assign(text=[taken_text(t, p) for t, p in zip(batch["text"], batch["pieces"], strict=True)]).drop(columns="pieces")
             if has_length:
                 batch["n_chars"] = batch["text"].str.len()
             yield batch
+        give_back()
 
     return numbered.join(uses, "_row").select(*docs.columns, "pieces").mapInPandas(build, docs.schema)
 

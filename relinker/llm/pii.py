@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegralType
 
 from relinker.llm import chains
 from relinker.llm.chains import Field
-from relinker.llm.common import through_pandas
+from relinker.llm.common import portions, through_pandas
 
 # Kinds in order, their patterns and limits.
 KINDS = ("email", "ip", "card", "phone")
@@ -30,6 +30,8 @@ LABELS = (OUTSIDE, *KINDS)
 HASHED = 1 << 14
 MARK = re.compile(r"[0-9@]")
 WORD = re.compile(r"\S+")
+# Characters of the texts that are searched at a time.
+PORTION = 1_000_000
 
 Span = tuple[str, int, int]
 
@@ -312,7 +314,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or fit()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in portions(batches, "text", PORTION):
             texts = batch["text"].fillna("").tolist()
             base = [base_spans(t) for t in texts]
             learned = learned_spans(texts, field)
@@ -334,7 +336,7 @@ def report(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or fit()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in portions(batches, "text", PORTION):
             texts = batch["text"].tolist()
             base = [base_spans(t) for t in texts]
             learned = learned_spans(texts, field)
@@ -361,7 +363,7 @@ def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
     length = (lambda t: str(len(t))) if has_length and isinstance(docs.schema["n_chars"].dataType, IntegralType) else len
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in portions(batches, "text", PORTION):
             texts = batch["text"].tolist()
             plain = [t if isinstance(t, str) else "" for t in texts]
             learned = learned_spans(plain, field)

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,20 @@ def test_mixing_on_awkward_rows(awkward):
     assert len(rows) == awkward.count() and all(r["taken"] <= 2 * r["size"] for r in rows)
     assert mixing.taken_words(awkward.limit(0)).count() == 0
     assert mixing.mixed_documents(awkward).columns == awkward.columns
+
+
+def test_personal_data_is_searched_in_portions(spark, monkeypatch):
+    """What is made of the words of all texts of a batch at once filled the memory of its worker."""
+    held = []
+    monkeypatch.setattr(pii, "through_pandas", lambda df, run, schema: held.append(run))
+    monkeypatch.setattr(pii, "PORTION", 300)
+    texts = [f"write to a{i}@b.org or call +1 202 555 01{i:02}" for i in range(60)] + [None, "", "x" * 900]
+    batch = pd.DataFrame({"doc_id": [str(i) for i in range(len(texts))], "text": texts})
+    docs = spark.createDataFrame([(0, "a")], "doc_id bigint, text string")
+    field = pii.fit()
+    for step in (pii.masked, pii.find, pii.report):
+        step(docs, field)
+        got = list(held[-1](iter([batch.assign(text=batch["text"].fillna("")) if step is pii.report else batch])))
+        assert len(got) > 5 and pd.concat(got)["doc_id"].tolist() == batch["doc_id"].tolist()
+    whole = pd.concat(held[0](iter([batch])))
+    assert whole["text"].tolist() == ["write to [email] or call [phone]"] * 60 + [None, "", "x" * 900]
