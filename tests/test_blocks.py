@@ -269,3 +269,70 @@ def test_vectors_do_not_move_with_every_row(spark, monkeypatch):
     assert all(len({*r["word"]}) == len(r["word"]) == len(r["value"]) <= 8 for r in rows)
     assert sum(len(r["value"]) for r in rows) < 180
     assert made.rdd.getNumPartitions() == max(sum(r["side"] == s for r in rows) for s in ("query", "target"))
+
+
+def addresses(n, seed=4):
+    rng = random.Random(seed)
+    hosts = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(40)]
+    return list(dict.fromkeys(f"http://{rng.choice(hosts)}.org/{rng.choice(['en', 'fr'])}/{rng.randint(0, 9999)}" for _ in range(n)))
+
+
+@pytest.mark.parametrize("name", ["hamming", "levenshtein", "fuzzy", "ratcliff"])
+def test_few_pairs_of_a_block_are_scored(monkeypatch, name):
+    """Neighbours by text give a floor, so that common bits rule out nearly all pairs, of places too."""
+    reach, scored = found_in.MEASURES[name]
+    pairs = []
+    monkeypatch.setitem(found_in.MEASURES, name, (reach, lambda q, strip, a, b, floor: (pairs.append(len(a)), scored(q, strip, a, b, floor))[1]))
+    made = addresses(3500)
+    queries, targets = made[:300], made[300:]
+    score, place = found_in.nearest(name, queries, targets)
+    assert sum(pairs) < 0.04 * len(queries) * len(targets)
+    for i in range(0, 300, 60):
+        if name in BRUTE:
+            all_scores = [BRUTE[name](queries[i], t) for t in targets]
+            assert (score[i], place[i]) == (max(all_scores), all_scores.index(max(all_scores)))
+
+
+def test_few_groups_of_vectors_are_multiplied(monkeypatch):
+    """A bound for a group of vectors that stand together decides; all products are not made."""
+    monkeypatch.setattr(found_in, "COLUMNS", 512)
+    made = addresses(3500)
+    queries, targets = made[:200], made[200:]
+    grams = sorted({g for t in targets for n in (2, 3) for g in (t[i:i + n] for i in range(len(t) - n + 1))})
+    weights = [1.0 + len(g) + i % 7 for i, g in enumerate(grams)]
+    sides = [*found_in.unit_terms(queries, grams, weights, 2, 3), *found_in.unit_terms(targets, grams, weights, 2, 3)]
+    expected = found_in._nearest_vectors_in_pairs(*sides)
+    monkeypatch.setattr(found_in, "_products", None)
+    met = []
+    table = found_in.Groups.table
+    monkeypatch.setattr(found_in.Groups, "table", lambda self, g: (met.append(g), table(self, g))[1])
+    order = np.argsort(np.array(targets))
+    # One query at a time, so that each group it is multiplied with is counted.
+    for i in range(0, 200, 40):
+        met.clear()
+        score, place = found_in.nearest_vectors(sides[0][i:i + 1], sides[1][i:i + 1], *sides[2:], None, order)
+        assert (score[0], place[0]) == (expected[0][i], expected[1][i])
+        assert len(met) < 0.5 * len(targets) / found_in.GROUP
+
+
+def test_vectors_with_negative_weights_or_no_terms():
+    one, two = [np.array([1, 2]), np.array([], int)], [np.array([-1.0, 0.5]), np.array([])]
+    score, place = found_in.nearest_vectors(one, two, one[::-1], two[::-1])
+    assert list(place) == [1, -1] and score[0] == 1.25
+    score, place = found_in.nearest_vectors(one[1:], two[1:], one, two)
+    assert list(place) == [-1]
+
+
+def test_sets_are_compared_as_bits(monkeypatch):
+    """No product of every pair is made."""
+    monkeypatch.setattr(found_in, "_products", None)
+    score, place = found_in.nearest_sets(["abc", "", "xyz"], ["bcd", "abcd", "abcd", "", "é"], 1.0, 1.0)
+    assert list(place) == [1, -1, -1] and score[0] == 0.75
+
+
+def test_directions_beyond_single_precision():
+    """Scores that single precision cannot tell apart, or hold, are those of double precision."""
+    targets = [[1.0, 1e-9], [1.0, 2e-8], [1.0, 0.0]]
+    score, place = found_in.nearest_directions([[1.0, 1.0], [1e30, 0.0]], targets)
+    assert place[0] == 1 and score[0] == pytest.approx(1 + 2e-8, abs=1e-12)
+    assert place[1] == 0 and score[1] == pytest.approx(1e30)
