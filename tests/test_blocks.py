@@ -336,3 +336,9 @@ def test_directions_beyond_single_precision():
     score, place = found_in.nearest_directions([[1.0, 1.0], [1e30, 0.0]], targets)
     assert place[0] == 1 and score[0] == pytest.approx(1 + 2e-8, abs=1e-12)
     assert place[1] == 0 and score[1] == pytest.approx(1e30)
+
+
+def test_blocks_without_any_match(spark):
+    queries = spark.createDataFrame([("abc",)], "q string")
+    targets = spark.createDataFrame([("xyz", 0, "u")], "t string, live_idx bigint, live_url string")
+    assert blocks.best_strings(queries, targets, "ratcliff").count() == 0

@@ -252,3 +252,14 @@ def test_grams_of_few_urls_are_counted_by_all_tasks(spark):
     want = Counter((i, u[k:k + n]) for i, u in enumerate(low) for n in (2, 3, 4) for k in range(len(u) - n + 1))
     assert got == want
     assert counts.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_ngrams_of_distinct_urls_are_counted_by_all_tasks(spark):
+    """Rows that are dealt by URL already stayed in the few tasks that they were merged to."""
+    made = ["http://a.org/aaa", "HTTP://B.org/é🙂é🙂", "", "x", "a  \t b"]
+    docs = spark.createDataFrame([(u,) for u in [*made, None, made[0]]], "url string").distinct()
+    assert vectors.texts_in_tasks(docs).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    texts = [u.lower().replace("  \t ", " ") for u in made]
+    grams = [[t[i:i + n] for n in (2, 3) for i in range(len(t) - n + 1)] for t in texts]
+    want = {(g, sum(x.count(g) for x in grams), sum(g in x for x in grams)) for x in grams for g in x}
+    assert {tuple(r) for r in vectors.gram_totals(docs, 2, 3).collect()} == want
