@@ -342,3 +342,14 @@ def test_blocks_without_any_match(spark):
     queries = spark.createDataFrame([("abc",)], "q string")
     targets = spark.createDataFrame([("xyz", 0, "u")], "t string, live_idx bigint, live_url string")
     assert blocks.best_strings(queries, targets, "ratcliff").count() == 0
+
+
+def test_a_single_block_is_one_partition_of_a_product(spark, monkeypatch):
+    """A product with partitions that hold no block has as many tasks without a pair."""
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 10)
+    found = []
+    plain = blocks._compared
+    monkeypatch.setattr(blocks, "_compared", lambda both, *rest: (found.append(both.rdd.getNumPartitions()), plain(both, *rest))[1])
+    live = spark.createDataFrame([(f"http://a.org/{i}", i) for i in range(30)], "url string, live_idx bigint")
+    broken = spark.createDataFrame([(f"http://a.org/{i}/x", i) for i in range(40)], "url string, idx bigint")
+    assert vectors.vector(broken, live).count() == 40 and found == [4]
